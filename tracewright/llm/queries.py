@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality, secret_scan, sharding, simhash
+from . import chat, html_text, langid, mtree, packing, quality, secret_scan, sharding, simhash
 from .common import table
 
 
+def op1_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, k=10)
+
+
+def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -28,12 +36,31 @@ def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(chat.fixture(spark))))
 
 
+def op8_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op10_bilstm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_bktree, op4_secret_ownership, op5_quality_rules, op6_chat_template, op9_feistel_shards)
+    f.__name__: f
+    for f in (
+        op1_mtree_topk,
+        op2_nnls_packing,
+        op3_simhash_bktree,
+        op4_secret_ownership,
+        op5_quality_rules,
+        op6_chat_template,
+        op8_family_svm,
+        op9_feistel_shards,
+        op10_bilstm_blocks,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
