@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut, shared_dir
+
+__all__ = ["SPACE", "components", "cut", "dense_rank_rows", "shared_dir", "table", "text_of", "words_of"]
+
 #: ASCII white space: space and \x09 to \x0D. A word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,30 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session gets a temporary folder of its own; a cluster is refused,
-    as there a local folder would be invisible to the other machines.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="tracewright-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir() or at
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(col: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -50,14 +27,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
 
 
-def dense_rank_rows(rows: DataFrame, key: list[str], order: list[Column], n_rows: int, per_bucket: int = 20_000) -> DataFrame:
+def dense_rank_rows(rows: DataFrame, key: list[str], order: list[Column], buckets: int | Column) -> DataFrame:
     """Number rows 0.. within each key, without one task for a whole key.
 
     Rows fall into buckets by a hash of their order columns; each bucket of a key is ranked by
-    itself, and bucket counts (one row per key and bucket) give the offsets. Adds column rn.
+    itself, and bucket counts (one row per key and bucket) give the offsets. buckets: how many
+    there are for a row's key, as a number or as a column that depends on the key; the root of the
+    key's rows keeps both a bucket and the table of offsets small. Adds column rn.
     """
-    buckets = max(1, -(-n_rows // per_bucket))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    many = F.lit(buckets) if isinstance(buckets, int) else buckets
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), many).cast("int"))
     counts = rows.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, langid, mtree, packing, quality, secret_scan, sharding, simhash
+from . import chat, html_text, langid, mtree, packing, quality, secret_scan, sharding, simhash, spm
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows.unionByName(chat.fixture(spark))))
 
 
+def op7_lattice_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_secret_ownership,
         op5_quality_rules,
         op6_chat_template,
+        op7_lattice_pieces,
         op8_family_svm,
         op9_feistel_shards,
         op10_bilstm_blocks,

@@ -64,7 +64,7 @@ def feistel_shards(rows: DataFrame, n_shards: int, order: list[str], seed: int =
     n = rows.count()
     if not n:
         return rows.withColumns({"row_number": F.lit(0).cast("long"), "shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    numbered = dense_rank_rows(rows, [], [F.col(c) for c in order], n).withColumnRenamed("rn", "row_number")
+    numbered = dense_rank_rows(rows, [], [F.col(c) for c in order], isqrt(n) + 1).withColumnRenamed("rn", "row_number")
     place = numbered.withColumn("_place", permuted(F.col("row_number"), n, seed))
     return place.withColumns({"shard": (F.col("_place") % n_shards).cast("int"), "slot": F.call_function("div", F.col("_place"), F.lit(n_shards)).cast("long")}).drop("_place")
 
