@@ -205,7 +205,7 @@ def test_bench_report(spark, graphs):
 def test_cli(spark, graphs, capsys, tmp_path):
     g = graphs("calls")
     ask = lambda *a: cli.run(cli.parser().parse_args(a), spark)
-    assert ask("index", g.root) == 0 and "nodes 12" in capsys.readouterr().out
+    assert ask("index", g.root) == 0 and "nodes 11" in capsys.readouterr().out
     assert ask("who-calls", "work", "--dir", g.root) == 0
     out = capsys.readouterr()
     assert out.out.strip().endswith("app.c:4") and "both has 2 external" in out.err
@@ -213,7 +213,7 @@ def test_cli(spark, graphs, capsys, tmp_path):
     assert ask("blast-radius", "aid", "--dir", g.root, "--depth") == 0
     assert ask("parse", os.path.join(g.root, "lib.c")) == 0
     assert cli.main(["nope"]) == 2
-    assert load_or_index(spark, g.root).size() == 12
+    assert load_or_index(spark, g.root).size() == 11
 
 
 def test_tools(spark, graphs):

@@ -103,7 +103,7 @@ sites AS (SELECT s.node_id AS src, f.file, f.callee, f.line, o.node_id AS local
 ext AS (SELECT node_id, name FROM defs WHERE NOT internal)"""
 _CALLS = f"""{_SITES},
 calls AS (SELECT src, local AS dst, line AS call_line FROM sites WHERE local IS NOT NULL UNION ALL SELECT src, e.node_id, line FROM sites JOIN ext e ON e.name = callee WHERE local IS NULL)"""
-_SEED = "(SELECT min(name) FROM defs)"
+_SEED = "(SELECT min(name) FROM defs WHERE node_id IN (SELECT s_suppkey FROM supplier))"
 _INCLUDES = """files AS (SELECT c_custkey AS node_id, '/n' || c_nationkey || '/c' || c_custkey || '.h' AS file FROM customer),
 facts AS (SELECT f.node_id AS includer, 'n' || (o_orderkey % 25) || '/c' || ((o_orderkey * 7) % (n + n // 4)) || '.h' AS place, o_orderpriority = '1-URGENT' AS is_system, o_orderkey AS line FROM orders JOIN files f ON f.node_id = o_custkey, (SELECT count(*) AS n FROM customer)),
 resolved AS (SELECT facts.*, g.node_id AS includee FROM facts LEFT JOIN files g ON g.file = '/' || place AND NOT is_system)"""
@@ -115,15 +115,16 @@ by_name AS (SELECT name, count(*) FILTER (external) AS n_ext, min(node_id) FILTE
 links AS (SELECT s_suppkey, CASE WHEN n_ext = 1 THEN ext WHEN n_ext = 0 AND n = 1 THEN any_id END AS def FROM supplier JOIN defs ON node_id = s_suppkey JOIN by_name USING (name))"""
 
 
-def seed(defs: DataFrame) -> DataFrame:
-    """The definitions of the least name."""
-    return defs.join(F.broadcast(defs.agg(F.min("name").alias("name"))), "name", "left_semi")  # one row
+def seed(spark: SparkSession, d: str, defs: DataFrame) -> DataFrame:
+    """The definitions of the least name that a call site can name."""
+    named = defs.join(_read(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id")), "node_id", "left_semi")
+    return defs.join(F.broadcast(named.agg(F.min("name").alias("name"))), "name", "left_semi")  # one row
 
 
 # -- queries ------------------------------------------------------------------
 @query(f"WITH {_DEFS} SELECT name, file, line FROM defs WHERE name = {_SEED}")
 def find_definition(spark: SparkSession, d: str) -> DataFrame:
-    return seed(definitions(spark, d)).select("name", "file", "line")
+    return seed(spark, d, definitions(spark, d)).select("name", "file", "line")
 
 
 @query("SELECT p_name || ':' || p_type || ':' || p_brand AS name, 'decls.h' AS file, s_suppkey AS line FROM supplier JOIN part ON p_partkey = s_suppkey WHERE p_name LIKE 'b%'")
@@ -139,14 +140,14 @@ def calls_resolved(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CALLS} SELECT DISTINCT c.file, c.line FROM calls JOIN defs t ON t.node_id = dst JOIN defs c ON c.node_id = src WHERE t.name = {_SEED}")
 def who_calls(spark: SparkSession, d: str) -> DataFrame:
     defs = definitions(spark, d)
-    callers = navigate.neighbours(calls(spark, d), seed(defs)).distinct()
+    callers = navigate.neighbours(calls(spark, d), seed(spark, d, defs)).distinct()
     return defs.join(callers, "node_id", "left_semi").select("file", "line").distinct()
 
 
 @query(f"WITH {_CALLS} SELECT DISTINCT c.file, call_line AS line FROM calls JOIN defs t ON t.node_id = dst JOIN defs c ON c.node_id = src WHERE t.name = {_SEED}")
 def call_sites(spark: SparkSession, d: str) -> DataFrame:
     defs = definitions(spark, d)
-    to = seed(defs).select(F.col("node_id").alias("dst"))
+    to = seed(spark, d, defs).select(F.col("node_id").alias("dst"))
     return calls(spark, d).join(to, "dst", "left_semi").join(defs.select(F.col("node_id").alias("src"), "file"), "src").select("file", F.col("call_line").alias("line")).distinct()
 
 
@@ -161,13 +162,13 @@ reach(node, depth) USING KEY (node) AS (
 @query(f"{_REACH} SELECT file, line, min(depth)::INT AS depth FROM reach JOIN defs ON node_id = node WHERE depth > 0 GROUP BY file, line")
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     defs = definitions(spark, d)
-    found = navigate.transitive_callers(calls(spark, d), seed(defs))
+    found = navigate.transitive_callers(calls(spark, d), seed(spark, d, defs))
     return defs.join(found, "node_id").groupBy("file", "line").agg(F.min("depth").alias("depth"))
 
 
 @query(f"{_REACH} SELECT depth::INT AS depth, count(*) AS nodes FROM reach WHERE depth > 0 GROUP BY depth")
 def blast_radius_depth(spark: SparkSession, d: str) -> DataFrame:
-    found = navigate.transitive_callers(calls(spark, d), seed(definitions(spark, d)))
+    found = navigate.transitive_callers(calls(spark, d), seed(spark, d, definitions(spark, d)))
     return found.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 

@@ -8,15 +8,31 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import content_hash, include_target
 from ..model import ARTIFACTS, OK, SYNTAX_ERROR, UNREADABLE
 from .c_facts import extract
 
 SUFFIXES = (".c", ".h")
-_SCHEMA = T.StructType.fromDDL(ARTIFACTS)
+
+
+def _list_of(**fields: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct(list(fields.items())))
+
+
+_S, _I, _L, _B = pa.string(), pa.int32(), pa.int64(), pa.bool_()
+#: model.ARTIFACTS for Arrow.
+_SCHEMA = pa.schema(
+    [("path", _S), ("rel", _S), ("status", _S), ("hash", _L), ("bytes", _L), ("lines", _L)]
+    + [
+        ("definitions", _list_of(name=_S, line=_I, is_static=_B)),
+        ("declarations", _list_of(name=_S, line=_I)),
+        ("calls", _list_of(caller=_S, callee=_S, line=_I)),
+        ("includes", _list_of(target=_S, is_system=_B, line=_I, resolved=_S)),
+        ("types", _list_of(name=_S, line=_I, category=_S)),
+        ("type_uses", _list_of(function=_S, type=_S, line=_I)),
+    ]
+)
 
 
 def is_c_source(path: str) -> bool:
@@ -67,27 +83,25 @@ def _read(path: str) -> bytes | None:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(_SCHEMA)
     for b in batches:
         rows = [artifact(p, r, _read(p)) for p, r in zip(b.column("path").to_pylist(), b.column("rel").to_pylist())]
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
 
 def parse(paths: DataFrame) -> DataFrame:
     """Artifacts of the files in paths (path, rel)."""
-    return paths.select("path", "rel").mapInArrow(_parse, _SCHEMA)
+    return paths.select("path", "rel").mapInArrow(_parse, ARTIFACTS)
 
 
 def _parse_binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = to_arrow_schema(_SCHEMA)
     for b in batches:
         rows = [artifact(p, r, c) for p, r, c in zip(*(b.column(n).to_pylist() for n in ("path", "rel", "content")))]
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
 
 def parse_contents(files: DataFrame) -> DataFrame:
     """Artifacts of files given with their contents (path, rel, content): for stores that only Spark reads."""
-    return files.select("path", "rel", F.col("content").cast("binary")).mapInArrow(_parse_binary, _SCHEMA)
+    return files.select("path", "rel", F.col("content").cast("binary")).mapInArrow(_parse_binary, ARTIFACTS)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
