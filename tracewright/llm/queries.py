@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, html_text, langid, mtree, packing, quality, secret_scan, sharding, simhash, spm
 from .common import table
@@ -28,7 +29,7 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality.quality_rules(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,71 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# -- DuckDB SQL for the same rows ---------------------------------------------
+_TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s) WHERE rank <= 10"""
+
+
+def _quality_sql() -> str:
+    """The rule table as SQL over metrics counted with list functions."""
+    stop = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END"
+    metrics = {
+        "repeat_ratio": ratio("n_repeat_words", "n_words"),
+        "mean_word_chars": ratio("word_chars", "n_words"),
+        "symbol_ratio": ratio("n_symbols", "n_words"),
+        "stop_ratio": ratio("n_stop", "n_words"),
+        "letter_word_ratio": ratio("n_letters", "n_words"),
+        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "bullet_line_ratio": ratio("n_bullets", "n_lines"),
+        "ellipsis_line_ratio": ratio("n_dots", "n_lines"),
+    }
+    broken = []
+    for r in quality.RULES:
+        tests = [f"({r.metric}) < {r.least!r}" for _ in [0] if r.least is not None] + [f"({r.metric}) > {r.most!r}" for _ in [0] if r.most is not None]
+        broken.append(f"CASE WHEN {' OR '.join(tests)} THEN '{r.name}' END")
+    return f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+  wins AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 1)) AS i)),
+  again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM wins) WHERE c > 1),
+  covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(3) r(k) GROUP BY doc_id),
+  m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, len(list_filter(ws, lambda x: lower(x) IN ({stop}))) AS n_stop,
+    len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letters, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*[-*•]'))) AS n_bullets,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) AS n_dots FROM w LEFT JOIN covered USING (doc_id)),
+  r AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in metrics.items())} FROM m),
+  f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {", ".join(broken)}) AS failed_rules FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f"""
+
+
+def _chat_sql() -> str:
+    """Digests straight from the turns; escaped lengths by the same replacements."""
+    t = chat.TEMPLATE
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+
+    def escaped(col: str) -> str:
+        out = f"replace({col}, '&', '&amp;')"
+        for i, c in enumerate(t.controls):
+            out = f"replace({out}, {quote(c)}, '&c{i};')"
+        return out
+
+    role = f"replace(replace({escaped('role')}, ']', '&b;'), chr(10), '&n;')"
+    fixed = len(t.opening.replace("{role}", "")) + len(t.closing)
+    moves = ", ".join(f"({quote(a)}, {quote(b)})" for a, b, _ in t.transitions)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    said = "</s>[INST] ok [/INST]"
+    return f"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{said}' UNION ALL SELECT -7, 1, 'assistant', '{said}'),
+  steps AS (SELECT *, (coalesce(lag(role) OVER (PARTITION BY conv_id {order}), 'start'), role) IN ({moves}) AS fine,
+    row_number() OVER (PARTITION BY conv_id {order}) = count(*) OVER (PARTITION BY conv_id) AS last FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({fixed} + length({role}) + length({escaped('text')}))::BIGINT AS formatted_chars,
+  bool_and(fine) AND bool_or(last AND role = 'assistant') AS valid, count(*) FILTER (NOT fine) AS bad_turns FROM steps GROUP BY conv_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_mtree_topk": _TOP_K, "op5_quality_rules": _quality_sql(), "op6_chat_template": _chat_sql()}
