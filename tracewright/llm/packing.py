@@ -2,8 +2,8 @@
 
 The histogram of piece lengths (1024 numbers at most, whatever the corpus) goes to the driver. It
 enumerates patterns of up to three lengths that fill a sequence exactly, fits how often to repeat
-each by non-negative least squares, rounds, takes what the counts allow, and packs the
-residual histogram by best fit, longest first. The plan maps each rank of a length to a sequence and an
+each by non-negative least squares, rounds a share of that, takes what the counts allow, and packs the
+residual histogram by best fit, longest first; of a few shares, half at least, the best is taken. The plan maps each rank of a length to a sequence and an
 offset; pieces learn their rank from bucketed windows and meet the plan in one broadcast join.
 
 Defined results: a null text is empty and has the one end token; repeated rows are packed once
@@ -81,6 +81,7 @@ def fit(counts: np.ndarray, table: np.ndarray, rounds: int = 80, at_once: int =
     """
     goal, chosen, x = counts.astype(float), np.zeros(0, int), np.zeros(0)
     goal[0] = 0
+    m, gram = np.zeros((len(counts), 0)), np.zeros((0, 0))
     for _ in range(rounds):
         rest = goal.copy()
         for k in range(3):
@@ -99,12 +100,15 @@ def fit(counts: np.ndarray, table: np.ndarray, rounds: int = 80, at_once: int =
         if not new:
             break
         chosen, x = np.append(chosen, new).astype(int), np.append(x, np.zeros(len(new)))
+        more = np.zeros((len(counts), len(new)))
+        for k in range(3):
+            np.add.at(more, (table[new, k], np.arange(len(new))), 1.0)
+        more[0] = 0
+        cross = m.T @ more
+        gram = np.block([[gram, cross], [cross.T, more.T @ more]])
+        m = np.concatenate([m, more], axis=1)
         while len(chosen):
-            m = np.zeros((len(counts), len(chosen)))
-            for k in range(3):
-                np.add.at(m, (table[chosen, k], np.arange(len(chosen))), 1.0)
-            m[0] = 0
-            best = np.linalg.solve(m.T @ m + 1e-6 * np.eye(len(chosen)), m.T @ goal)
+            best = np.linalg.solve(gram + 1e-6 * np.eye(len(chosen)), m.T @ goal)
             if (best > 1e-9).all():
                 x = best
                 break
@@ -114,7 +118,7 @@ def fit(counts: np.ndarray, table: np.ndarray, rounds: int = 80, at_once: int =
             stay = (x > 1e-9) & ~(bad & (x <= 1e-6))
             if stay.all():
                 stay[np.flatnonzero(bad)[np.argmin(x[bad])]] = False
-            chosen, x = chosen[stay], x[stay]
+            chosen, x, m, gram = chosen[stay], x[stay], m[:, stay], gram[np.ix_(stay, stay)]
     return chosen, x
 
 
@@ -142,30 +146,38 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]
     return [x for group in room.values() for x in group]
 
 
+#: Shares of the fitted counts that are tried; what a share leaves goes to best fit, which needs some short pieces to fill gaps.
+SHARES = (1.0, 0.97, 0.94, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5)
+
+
 def plan(counts: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use every counted length exactly as often as it occurs. counts[length] up to counts[size]."""
-    left, out = counts.astype(np.int64).copy(), []
+    """(pattern, repeats) that use every counted length exactly as often as it occurs. counts[length] up to counts[size].
+
+    The fit is made once; the share of it is taken that needs the fewest sequences in all.
+    """
+    left, whole = counts.astype(np.int64).copy(), []
     if left[size]:
-        out.append(((size,), int(left[size])))
+        whole.append(((size,), int(left[size])))
         left[size] = 0
-    for _ in range(4):
-        table = patterns(np.flatnonzero(left), size)
-        if not len(table):
-            break
-        chosen, x = fit(left, table)
-        got = 0
-        for i in np.argsort(-x):
+    table = patterns(np.flatnonzero(left), size)
+    if not len(table):
+        return whole + best_fit(left, size)
+    chosen, x = fit(left, table)
+    order, best = np.argsort(-x), None
+    for share in SHARES:
+        rest, out = left.copy(), []
+        for i in order:
             pattern = tuple(v for v in table[chosen[i]].tolist() if v)
             need = {v: pattern.count(v) for v in pattern}
-            n = min(int(x[i] + 0.5), *(int(left[v]) // m for v, m in need.items()))
+            n = min(int(x[i] * share + 0.5), *(int(rest[v]) // m for v, m in need.items()))
             if n > 0:
                 for v, m in need.items():
-                    left[v] -= n * m
+                    rest[v] -= n * m
                 out.append((pattern, n))
-                got += n
-        if not got:
-            break
-    return out + best_fit(left, size)
+        out += best_fit(rest, size)
+        if best is None or sum(n for _, n in out) < sum(n for _, n in best):
+            best = out
+    return whole + best
 
 
 def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
