@@ -17,15 +17,23 @@ from ..sources import store, trees
 
 @dataclass
 class Graph:
-    """A code graph: the relations of model.RELATIONS as DataFrames."""
+    """A code graph: the relations of model.RELATIONS as DataFrames.
+
+    A relation that is still a plan is written to the shared folder when it is first asked for, so
+    that later questions read it. stored: the relations are tables already.
+    """
 
     relations: dict[str, DataFrame]
     artifacts: DataFrame | None = None
+    stored: bool = False
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in RELATIONS:
-            return self.relations[name]
-        raise AttributeError(name)
+        if name not in RELATIONS:
+            raise AttributeError(name)
+        if not self.stored and name not in self.__dict__.setdefault("_cut", set()):
+            self.relations[name] = cut(self.relations[name])
+            self._cut.add(name)
+        return self.relations[name]
 
     # point lookups and one hop
     def nodes_named(self, name: str) -> DataFrame:
@@ -166,7 +174,7 @@ def load_or_index(spark: SparkSession, root: str, index_path: str | None = None,
     path = index_path or f"{root.rstrip('/')}/{store.DEFAULT_NAME}"
     if not refresh:
         try:
-            return Graph(*store.load(spark, path))
+            return Graph(*store.load(spark, path), stored=True)
         except store.IndexFormatError as e:
             if "no index" not in str(e):
                 print(f"warning: {e}; indexing the sources", file=sys.stderr)
