@@ -184,8 +184,8 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
 
     The driver gets language counts and at most about per_lang sparse vectors of each language.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not sizes:
         return Model([], [])
     steps = 1 << 30
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
     for r in sizes:
         share = min(1.0, 1.2 * per_lang / r["n"])
         limit = F.when(F.col("lang") == r["lang"], F.lit(int(steps * share))).otherwise(limit)
-    picked = usable.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(steps))).where(F.col("h") < limit)
+    picked = labelled.where(F.col("text").isNotNull()).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(steps))).where(F.col("h") < limit)
     rows = picked.select("lang", "text", "h").mapInArrow(_featurize, "lang string, h long, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["h"], bytes(r["at"]), bytes(r["n"])))
     kept, seen = [], {}

@@ -136,4 +136,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   bool_and(fine) AND bool_or(last AND role = 'assistant') AS valid, count(*) FILTER (NOT fine) AS bad_turns FROM steps GROUP BY conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_mtree_topk": _TOP_K, "op5_quality_rules": _quality_sql(), "op6_chat_template": _chat_sql()}
+def _secrets_sql() -> str:
+    """Positions as sums of the lengths between and of matches; ownership by distinct counts of values."""
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    every = {**secret_scan.PATTERNS, "owned": (secret_scan.WIDE, 0, 20)}
+    parts = []
+    for k, name in enumerate(secret_scan.KINDS):
+        pattern, group, least = every[name]
+        p = quote(pattern)
+        value = f"regexp_extract(v, {p}, {group})" if group else "v"
+        parts.append(
+            f"""SELECT doc_id, source, {k} AS kind, s AS start, s + length(v) AS stop, {value} AS secret FROM (
+    SELECT doc_id, source, found[i] AS v, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT doc_id, source, string_split_regex(coalesce(text, ''), {p}) AS gaps, regexp_extract_all(coalesce(text, ''), {p}) AS found FROM documents), LATERAL (SELECT unnest(range(1, len(found) + 1)) AS i))
+  WHERE length({value}) >= {least}"""
+        )
+    names = ", ".join(quote(k) for k in secret_scan.KINDS)
+    told = f"string_agg([{names}][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop)"
+    return f"""WITH hits AS ({" UNION ALL ".join(parts)}),
+  each AS (SELECT * FROM hits h WHERE kind < 3 OR (regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Za-z]')
+    AND NOT EXISTS (SELECT 1 FROM hits b WHERE b.doc_id = h.doc_id AND b.kind < 3 AND b.start < h.stop AND h.start < b.stop))),
+  known AS (SELECT secret, count(DISTINCT source) <= 1 AND count(DISTINCT doc_id) <= 3 AS live FROM each GROUP BY secret),
+  judged AS (SELECT each.*, live FROM each JOIN known USING (secret)),
+  by_doc AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    {told} FILTER (kind < 3) AS base, {told} FILTER (kind < 3 OR live) AS spans, count(*) FILTER (live) AS n_owned, count(*) FILTER (NOT live) AS n_copied FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN by_doc USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_mtree_topk": _TOP_K, "op4_secret_ownership": _secrets_sql(), "op5_quality_rules": _quality_sql(), "op6_chat_template": _chat_sql()}
