@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -197,7 +198,8 @@ def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
         base += n
     plan_df = F.broadcast(spark.createDataFrame(places, "_length long, _from long, _to long, _base long, offset long"))
     order = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    ranked = dense_rank_rows(rows, ["length"], order, max(1, -(-int(counts.sum()) // 20_000)))
+    buckets = F.broadcast(spark.createDataFrame([(k, isqrt(int(counts[k])) + 1) for k in range(1, size + 1)], "length long, _buckets int"))
+    ranked = dense_rank_rows(rows.join(buckets, "length"), ["length"], order, F.col("_buckets"))
     out = ranked.join(plan_df, (F.col("length") == F.col("_length")) & (F.col("rn") >= F.col("_from")) & (F.col("rn") < F.col("_to")))
     return out.withColumn("sequence_id", F.col("_base") + F.col("rn") - F.col("_from")).select(*rows.columns, "sequence_id", "offset")
 
