@@ -103,3 +103,10 @@ def main(argv: list[str] | None = None) -> int:
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    finally:
+        from pyspark.sql import SparkSession
+
+        from .functions.storage import release
+
+        if spark := SparkSession.getActiveSession():
+            release(spark)

@@ -295,3 +295,38 @@ def nodes_named(spark: SparkSession, d: str) -> DataFrame:
     defs = definitions(spark, d)
     name = defs.agg(F.max("name").alias("n")).first()["n"]
     return navigate.nodes_named(defs, name).select("node_id", "file")
+
+
+@query(f"WITH {_DEFS} SELECT file, name, min(node_id) AS node_id FROM defs GROUP BY file, name")
+def first_definitions(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.first_definitions(definitions(spark, d))
+
+
+@query(f"WITH {_SITES} SELECT src, file, callee, line FROM sites")
+def attributed_calls(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.attributed(definitions(spark, d), call_facts(spark, d), "caller").select("src", "file", "callee", "line")
+
+
+@query(f"WITH {_CALLS} SELECT src AS node_id, count(*) AS n FROM calls JOIN defs ON node_id = dst WHERE internal GROUP BY src")
+def callers_one_hop(spark: SparkSession, d: str) -> DataFrame:
+    """Callers of the internal functions, with how many calls they make."""
+    defs = definitions(spark, d)
+    return navigate.neighbours(calls(spark, d), defs.where(F.col("linkage") == INTERNAL)).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_INCLUDES}, hub AS (SELECT includee AS id FROM resolved WHERE includee IS NOT NULL GROUP BY includee HAVING count(*) > 1), e AS (SELECT includer AS src, includee AS dst FROM resolved WHERE includee IS NOT NULL) SELECT 'includes' AS direction, dst AS node_id FROM e WHERE src IN (SELECT id FROM hub) UNION ALL SELECT 'included_by', src FROM e WHERE dst IN (SELECT id FROM hub)")
+def includes_both_ways(spark: SparkSession, d: str) -> DataFrame:
+    """One hop from the files that two directives or more include, both ways."""
+    edges = resolve.include_edges(includes(spark, d))
+    hubs = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("dst").alias("node_id"))
+    near = lambda reverse, name: navigate.neighbours(edges, hubs, reverse).select(F.lit(name).alias("direction"), "node_id")
+    return near(False, "includes").unionByName(near(True, "included_by"))
+
+
+@query(f"WITH {_DECLARES} SELECT def AS node_id, p_brand AS file, count(*) AS declarations FROM links JOIN part ON p_partkey = def WHERE def IS NOT NULL GROUP BY def, p_brand")
+def definition_of(spark: SparkSession, d: str) -> DataFrame:
+    """The definitions that all declarations lead to."""
+    nodes = declared(spark, d)
+    links = navigate.definition_of(resolve.declaration_links(nodes), nodes.where(F.col("kind") == DECLARATION))
+    at = nodes.select(F.col("node_id").alias("def"), "file")
+    return links.join(at, "def").groupBy(F.col("def").alias("node_id"), "file").agg(F.count(F.lit(1)).alias("declarations"))
