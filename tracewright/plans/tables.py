@@ -55,10 +55,10 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def declared(spark: SparkSession, d: str) -> DataFrame:
-    """Definitions with long names, and a declaration per supplier of the part of its number; their ids follow the parts'."""
+    """Definitions with long names, and a declaration per supplier of the part of its number; their ids are negative."""
     defs = definitions(spark, d, long_names=True)
     keys = _read(spark, d, "supplier").select("s_suppkey").join(defs, F.col("s_suppkey") == F.col("node_id"))
-    decls = keys.select((-F.col("s_suppkey")).alias("node_id"), F.lit(DECLARATION).alias("kind"), "name", F.lit("decls.h").alias("file"), F.col("s_suppkey").alias("line"), F.lit(EXTERNAL).alias("linkage"))
+    decls = keys.select((-1 - F.col("s_suppkey")).alias("node_id"), F.lit(DECLARATION).alias("kind"), "name", F.lit("decls.h").alias("file"), F.col("s_suppkey").alias("line"), F.lit(EXTERNAL).alias("linkage"))
     return defs.unionByName(decls)
 
 
@@ -180,7 +180,7 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_DECLARES} SELECT s_suppkey AS decl, def FROM links WHERE def IS NOT NULL")
 def declares(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.declaration_links(declared(spark, d)).select((-F.col("decl")).alias("decl"), "def")
+    return resolve.declaration_links(declared(spark, d)).select((-1 - F.col("decl")).alias("decl"), "def")
 
 
 @query(f"WITH {_INCLUDES} SELECT includer AS src, includee AS dst, line FROM resolved WHERE includee IS NOT NULL")
