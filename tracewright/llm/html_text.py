@@ -1,7 +1,7 @@
 """Main text of web pages: a recurrent block labeller over leaf sequences.
 
-A page becomes the sequence of its leaf blocks. Each has hashed vectors of its tag path (tags, class and id words) and of
-its words, and a few numbers (length, share of link text, place). A bidirectional LSTM in
+A page becomes the sequence of its leaf blocks. Each has vectors of its tag path (tags, class and id words; common ones
+in slots of their own, others hashed) and of its hashed words, and a few numbers (length, share of link text, place). A bidirectional LSTM in
 numpy reads the whole sequence and labels every block, so that each verdict sees the whole document. The model
 is trained here, on pages written by a seeded generator of many layouts; no page of a table is used to learn.
 
@@ -34,7 +34,16 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "article", "section", "div", "blockquote", "td", "nav", "aside", "main", "form"}
-PATH, WORDS, NUMBERS, HIDDEN = 192, 48, 8, 20
+#: Tags and class words with a slot of their own in the path vector; others share slots by their hash.
+KNOWN_TAGS = "html body div p article section nav header footer aside main form ul ol li table tr td th h1 h2 h3 h4 blockquote pre figure figcaption dl dt dd button label".split()
+KNOWN_WORDS = (
+    "nav menu navbar breadcrumb topbar header masthead sidebar widget related recommended popular trending tags ad ads advert advertisement banner promo sponsored sponsor "
+    "cookie cookies consent notice alert popup modal gdpr warning search login subscribe newsletter signup comment reply comments commentlist discussion responses replies disqus "
+    "share social author meta pagination footer copyright bottom legal text par lead post article entry story content body main page container wrapper site dialog"
+).split()
+KNOWN = {t: i for i, t in enumerate([*("T:" + t for t in KNOWN_TAGS), *("L:" + t for t in KNOWN_TAGS), *("C:" + w for w in KNOWN_WORDS)])}
+SHARED, WORDS, NUMBERS, HIDDEN = 64, 48, 8, 20
+PATH = len(KNOWN) + SHARED
 
 
 @dataclass
@@ -131,8 +140,10 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 @lru_cache(maxsize=200_000)
-def _slot(word: str, n: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
+def _slot(token: str) -> int:
+    """The place of a path token."""
+    own = KNOWN.get(token)
+    return own if own is not None else len(KNOWN) + zlib.crc32(token.encode("utf-8", "surrogatepass")) % SHARED
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -140,7 +151,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     for i, b in enumerate(blocks):
         for t in set(b.path):
-            x[i, _slot(t, PATH)] = 1
+            x[i, _slot(t)] = 1
         words = b.text.lower().split()
         hashed = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in words], minlength=WORDS)
         x[i, PATH : PATH + WORDS] = np.sqrt(hashed / len(words))
@@ -150,7 +161,7 @@ def features(blocks: list[Block]) -> np.ndarray:
 
 
 class Labeller:
-    """A bidirectional LSTM with one logit per block. Weights: per direction (input, recurrent, bias), and the output layer."""
+    """A bidirectional LSTM with one logit per block. Weights: per direction (input, recurrent, bias), the output layer, and a skip from the block's own features to it."""
 
     def __init__(self, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
@@ -163,6 +174,7 @@ class Labeller:
             bias[HIDDEN : 2 * HIDDEN] = 1
             self.w["b" + s] = bias
         self.w["o"] = rng.normal(0, 0.3, (2 * HIDDEN, 1)).astype(np.float32)
+        self.w["s"] = np.zeros((d, 1), np.float32)
         self.w["c"] = np.zeros(1, np.float32)
 
     def _run(self, x: np.ndarray, mask: np.ndarray, s: str, keep: bool):
@@ -189,17 +201,17 @@ class Labeller:
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(x, mask, s, False)[0] for s in "fb"], axis=2)
-        return (both @ self.w["o"])[..., 0] + self.w["c"][0]
+        return (both @ self.w["o"] + x @ self.w["s"])[..., 0] + self.w["c"][0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         runs = {s: self._run(x, mask, s, True) for s in "fb"}
         both = np.concatenate([runs[s][0] for s in "fb"], axis=2)
-        z = (both @ self.w["o"])[..., 0] + self.w["c"][0]
+        z = (both @ self.w["o"] + x @ self.w["s"])[..., 0] + self.w["c"][0]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         total = mask.sum()
         loss = float(-(np.log(np.where(y > 0.5, p, 1 - p) + 1e-9) * mask).sum() / total)
         dz = ((p - y) * mask / total).astype(np.float32)
-        grad = {"o": np.einsum("tbh,tb->h", both, dz)[:, None], "c": np.array([dz.sum()], np.float32)}
+        grad = {"o": np.einsum("tbh,tb->h", both, dz)[:, None], "s": x.reshape(-1, x.shape[2]).T @ dz.reshape(-1, 1), "c": np.array([dz.sum()], np.float32)}
         dboth = dz[..., None] * self.w["o"][:, 0]
         for k, s in enumerate("fb"):
             dout = dboth[..., k * HIDDEN : (k + 1) * HIDDEN]
@@ -292,7 +304,7 @@ class _Writer:
         if kind == 7:
             return f"<form action=\"/s\"{self.cls('search', 'login', 'subscribe', 'newsletter', 'signup') if r.random() < 0.5 else ''}>{p(2, 15) if r.random() < 0.6 else self.leaf(m, 1, 6)}<label>{self.leaf(m, 1, 4)}</label><input name=q><button>{self.leaf(m, 1, 2)}</button></form>"
         if kind in (8, 9):
-            each = lambda: f"<{(t := r.choice(['div', 'li', 'article', 'p']))}{self.cls('comment', 'reply')}>{p(1, 3) if r.random() < 0.5 and t != 'p' else ''}{r.choice([p(2, 50), self.leaf(m, 2, 50)])}</{t}>"
+            each = lambda: f"<{(t := r.choice(['div', 'div', 'li', 'article', 'p']))}{self.cls('comment', 'reply')}>{p(1, 3) if r.random() < 0.5 and t != 'p' else ''}{r.choice([p(2, 50), self.leaf(m, 2, 50)])}</{t}>"
             return f"<{(t := r.choice(['section', 'div', 'div', 'ol']))}{self.cls('comments', 'commentlist', 'discussion', 'responses', 'replies', 'disqus')}>{f'<h3>{self.leaf(m, 1, 4, ('Comments',))}</h3>' if r.random() < 0.6 else ''}{''.join(each() if r.random() < 0.8 else p(2, 50) for _ in range(r.randint(1, 6)))}</{t}>"
         if kind == 10:
             return f"<div{self.cls('share', 'social', 'newsletter', 'subscribe', 'login', 'author', 'meta', 'pagination')}>{r.choice([self.leaf(m, 1, 12), self.links('span'), p(1, 15)])}</div>"
@@ -327,10 +339,11 @@ class _Writer:
 
     def page(self) -> str:
         r = self.r
-        n = r.choice([1, 2, 3, 5, 8, 12, 20, 30])
+        n = r.choice([1, 1, 2, 2, 3, 5, 8, 12, 20, 30])
         body = [self.main_block() for _ in range(n)]
-        if r.random() < 0.75:
-            body.insert(0, f"<h1>{self.leaf(self.MAIN, 1, 12)}</h1>")
+        if r.random() < 0.7:
+            title = f"<{(t := r.choice(['h1', 'h1', 'h1', 'h2']))}>{self.leaf(self.MAIN, 1, 12)}</{t}>"
+            body.insert(0, f"<header>{title}</header>" if r.random() < 0.1 else title)
         for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
             body.insert(r.randint(0, len(body)), self.rest())
         inner = "".join(body)
@@ -363,13 +376,13 @@ def sample(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
 
 
 @lru_cache(maxsize=1)
-def trained(n_pages: int = 1500, epochs: int = 6, seed: int = 11) -> Labeller:
+def trained(n_pages: int = 2500, epochs: int = 6, seed: int = 11) -> Labeller:
     """The labeller of production: Adam over written pages, the same on every run."""
     data = [(features(b), y) for b, y in sample(n_pages, seed) if b]
     model, rng = Labeller(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.w.items()}
     v = {k: np.zeros_like(x) for k, x in model.w.items()}
-    step, size = 0, 24
+    step, size = 0, 32
     total = epochs * -(-len(data) // size)
     for _ in range(epochs):
         order = sorted(rng.permutation(len(data)).tolist(), key=lambda i: len(data[i][0]) // 8)
