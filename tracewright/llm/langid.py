@@ -7,7 +7,7 @@ margins break ties. A prediction sums weights over the whole text, so a text of
 one pass.
 
 Learning uses text and non-null lang of documents whose crc32 of the id (as text) is not a multiple
-of 5, `per_lang` documents of each language at most (chosen by a hash of the id, evenly over all rows).
+of 5, `per_lang` documents of each language and MOST in all at most (chosen by a hash of the id, evenly over all rows).
 
 Defined results: a null text or one without a letter is `und` with score 0, as is every text if no
 labelled document exists; with one learned language its score is 1; a null id counts as held out;
@@ -32,7 +32,8 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
 ORDERS, WIDTH = (2, 3, 4), 4096
-PER_LANG, MAX_LANGS = 500, 40
+#: The bounds of the sample: documents of one language, languages, and documents in all.
+PER_LANG, MAX_LANGS, MOST = 500, 40, 1200
 _LETTER = re.compile(r"[^\W\d_]")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -143,10 +144,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     x = np.zeros((len(rows), len(ORDERS) * WIDTH), np.float32)
     for i, (_, at, n) in enumerate(rows):
         x[i, at] = n
-    norm = np.maximum(1e-9, np.sqrt((x**2).sum(axis=1)))
+    norm = np.maximum(1e-9, np.sqrt(np.einsum("ij,ij->i", x, x)))
     ratio = float(np.mean(x.sum(axis=1) / len(ORDERS) / norm)) if len(rows) else 1.0
     x /= norm[:, None]
-    gram = (x @ x.T).astype(np.float64)
+    gram = x @ x.T
     lang_of, fam_of = np.array([r[0] for r in rows]), np.array([family_of(r[0]) for r in rows])
     pairs, weights, scale = [], [], []
 
@@ -155,7 +156,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
             for b in names[i + 1 :]:
                 at = np.flatnonzero((label == a) | (label == b))
                 coef = svm(gram[np.ix_(at, at)], np.where(label[at] == a, 1.0, -1.0))
-                w = x[at].T @ coef
+                whole = np.zeros(len(rows), np.float32)
+                whole[at] = coef
+                w = whole @ x
                 pairs.append((group, a, b))
                 weights.append(w)
                 scale.append(3.0 * ratio)
@@ -188,6 +191,7 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not sizes:
         return Model([], [])
+    per_lang = max(1, min(per_lang, MOST // len(sizes)))
     steps = 1 << 30
     limit = F.lit(0).cast("long")
     for r in sizes:
