@@ -278,6 +278,10 @@ class _Writer:
             text = self.r.choice(cue) + " " + text
         return mark + text
 
+    def heading(self, cue: tuple[str, ...]) -> str:
+        tag = self.r.choice(["h2", "h3", "h4"])
+        return f"<{tag}>{self.leaf(self.REST, 1, 4, cue)}</{tag}>"
+
     def links(self, tag: str = "li") -> str:
         n = self.r.randint(1, 9)
         items = "".join(f'<{tag}><a href="/x">{self.leaf(self.REST, 1, 3)}</a></{tag}>' for _ in range(n))
@@ -295,7 +299,7 @@ class _Writer:
         if kind == 2:
             return f"<aside>{f'<h3>{self.leaf(m, 1, 4)}</h3>' if r.random() < 0.6 else ''}{r.choice([self.links(), p(5, 40), p() + p(5, 60)])}</aside>"
         if kind == 3:
-            return f"<div{self.cls('sidebar', 'widget', 'related', 'recommended', 'popular', 'trending', 'tags')}><h4>{self.leaf(m, 1, 4, ('Related', 'More', 'Popular'))}</h4>{r.choice([self.links(), p(5, 40)])}</div>"
+            return f"<div{self.cls('sidebar', 'widget', 'related', 'recommended', 'popular', 'trending', 'tags')}>{self.heading(('Related', 'More', 'Popular'))}{r.choice([self.links(), p(5, 40)])}</div>"
         if kind in (4, 5):
             body = r.choice([self.leaf(m, 1, 30), p(2, 30), f"<span>{self.leaf(m, 2, 20)}</span>", f"<h3>{self.leaf(m, 2, 6)}</h3>{p()}"])
             return f"<{(t := r.choice(['div', 'div', 'section', 'aside']))}{self.cls('ad', 'ads', 'advert', 'advertisement', 'banner', 'promo', 'sponsored', 'sponsor')}>{body}</{t}>"
@@ -305,7 +309,7 @@ class _Writer:
             return f"<form action=\"/s\"{self.cls('search', 'login', 'subscribe', 'newsletter', 'signup') if r.random() < 0.5 else ''}>{p(2, 15) if r.random() < 0.6 else self.leaf(m, 1, 6)}<label>{self.leaf(m, 1, 4)}</label><input name=q><button>{self.leaf(m, 1, 2)}</button></form>"
         if kind in (8, 9):
             each = lambda: f"<{(t := r.choice(['div', 'div', 'li', 'article', 'p']))}{self.cls('comment', 'reply')}>{p(1, 3) if r.random() < 0.5 and t != 'p' else ''}{r.choice([p(2, 50), self.leaf(m, 2, 50)])}</{t}>"
-            return f"<{(t := r.choice(['section', 'div', 'div', 'ol']))}{self.cls('comments', 'commentlist', 'discussion', 'responses', 'replies', 'disqus')}>{f'<h3>{self.leaf(m, 1, 4, ('Comments',))}</h3>' if r.random() < 0.6 else ''}{''.join(each() if r.random() < 0.8 else p(2, 50) for _ in range(r.randint(1, 6)))}</{t}>"
+            return f"<{(t := r.choice(['section', 'div', 'div', 'ol']))}{self.cls('comments', 'commentlist', 'discussion', 'responses', 'replies', 'disqus')}>{self.heading(('Comments',)) if r.random() < 0.7 else ''}{''.join(each() if r.random() < 0.8 else p(2, 50) for _ in range(r.randint(1, 6)))}</{t}>"
         if kind == 10:
             return f"<div{self.cls('share', 'social', 'newsletter', 'subscribe', 'login', 'author', 'meta', 'pagination')}>{r.choice([self.leaf(m, 1, 12), self.links('span'), p(1, 15)])}</div>"
         return self.footer()
