@@ -14,6 +14,12 @@ the root of its local class: never all pairs. No link between different fingerpr
 Defined results: a null text is empty; repeated rows share a class; rows of null doc_id have a
 fingerprint and the class of their links (null if no linked row has an id); an empty table gives an empty table;
 columns other than doc_id and text are ignored.
+
+The pipeline's stage has another measure: two texts link if the sets of their shingles of five words
+have a Jaccard similarity of 0.8 or more. No radius in bits is both safe and selective for that (such pairs differ in
+about ten of 64 bits, and often more), so candidates come from a prefix filter, which loses no pair:
+in any common order of shingles, two such sets share one among the first fifth of each. Shingles
+that a sample shows often come last in that order, which bears on the work only.
 """
 
 from __future__ import annotations
@@ -33,19 +39,29 @@ RADIUS, BITS, SEED, SHINGLE = 3, 64, 42, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: The stage's shingle, the buckets of more members than are paired at once, and the documents that the order of shingles is made from.
+WORDS, CROWD, SAMPLED = 5, 8, 8192
+
+
 def fingerprint(text: str | None) -> int:
     """The fingerprint as an unsigned number."""
+    hashes = shingles(text, SHINGLE)
+    return _majority(hashes) if len(hashes) else 0
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of every shingle of size words, repeats included; a shorter text is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(line, SEED)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
-    last = (ends[SHINGLE - 1 :] - 1).tolist()
-    first = [0, *ends[: -SHINGLE].tolist()]
+    last = (ends[size - 1 :] - 1).tolist()
+    first = [0, *ends[:-size].tolist()]
     digest = xxhash.xxh64_intdigest
-    return _majority(np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], dtype="<u8"))
+    return np.array([digest(line[a:b], SEED) for a, b in zip(first, last)], dtype="<u8")
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -203,7 +219,11 @@ def near_duplicates(docs: DataFrame, shard_limit: int = 256) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
     prints = cut(fingerprints(docs))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("fp"), shard_limit))
+    return _named(prints, distinct, components(links(distinct.select("fp"), shard_limit)))
+
+
+def _named(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """prints with component_id, from the classes (node, root) of their fingerprints."""
     named = roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
     by_fp = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
@@ -214,12 +234,169 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# -- Jaccard similarity of the sets of shingles --------------------------------
+def _key(own: np.ndarray) -> int:
+    """One number per set; the empty set's is zero."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, WORDS)).view("<i8"))], ["t"])
+
+
+def common_shingles(docs: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of those that a sample of documents holds often, sorted by shingle. They order the work; results don't depend on them."""
+    share = min(1.0, SAMPLED / max(1, docs.count()))
+    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    rows = picked.mapInArrow(_sampled, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "t").limit(most).collect()
+    t, n = np.array([r["t"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    at = np.argsort(t)
+    return t[at], n[at]
+
+
+def _prefixes(common: np.ndarray, counts: np.ndarray):
+    """doc_id, fp (the set's number), n (its size) and the first shingles of the set, of which any set with 0.8 of its union shares one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sizes, first = [], [], []
+            for t in b.column("text").to_pylist():
+                own = np.unique(shingles(t, WORDS))
+                n = len(own)
+                rank = np.zeros(n, np.int64)
+                if len(common) and n:
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    rank = np.where(common[at] == own, counts[at], 0)
+                fps.append(_key(own))
+                sizes.append(n)
+                first.append(own[np.lexsort((own, rank))][: n - (4 * n + 4) // 5 + 1 if n else 0])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, dtype="<u8").view("<i8"), pa.int64()), pa.array(sizes, pa.int32()), _lists(first)], ["doc_id", "fp", "n", "first"])
+
+    return run
+
+
+def _pairs_of(t: int, rows: list[tuple[int, int, int, int]], split: bool) -> tuple[set[tuple[int, int]], bool]:
+    """Candidates among (fp, n, pos, class) that share shingle t, and whether there are more.
+
+    A pair is left out if the sizes, or what follows t in both, cannot reach 0.8: an upper bound where
+    t is the first shingle that both have. Crowds are chained in one of four orders first; split: all pairs of unlike class.
+    """
+    out: set[tuple[int, int]] = set()
+
+    def meet(x: tuple, y: tuple) -> None:
+        if 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1]) and 9 * min(x[1] - x[2], y[1] - y[2]) >= 4 * (x[1] + y[1]):
+            out.add((max(x[0], y[0]), min(x[0], y[0])))
+
+    if not split and len(rows) > CROWD:
+        turn = t % 4
+        rows = sorted(rows, key=lambda r: (r[1], r[0]) if not turn else (r[0] * (2 * turn + 1) * 0x9E3779B97F4A7C15 >> 7 & 0xFFFFFFFF, r[0]))
+        for x, y in zip(rows, rows[1:]):
+            meet(x, y)
+        return out, True
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            if 5 * x[1] < 4 * y[1]:
+                break
+            if x[3] != y[3] or not split:
+                meet(x, y)
+    return out, False
+
+
+def _candidates(split: bool):
+    """Rows (t, fp, n, pos, class) sorted by t to pairs (fp, b), and the rows of crowds, with b null, that are left over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, told, left = None, [], set(), []
+
+        def out() -> pa.RecordBatch:
+            rows = [(a, b, None, None, None) for a, b in told] + left
+            told.clear()
+            left.clear()
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["fp", "b", "t", "n", "pos"])
+
+        def end() -> None:
+            if len(held) > 1:
+                found, more = _pairs_of(last, held, split)
+                told.update(found)
+                if more:
+                    left.extend((fp, None, last, n, pos) for fp, n, pos, _ in held)
+
+        for b in batches:
+            for t, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if t != last:
+                    end()
+                    last, held = t, []
+                held.append(tuple(row))
+            if len(told) + len(left) > 20_000:
+                yield out()
+        end()
+        if told or left:
+            yield out()
+
+    return run
+
+
+def _in_parts(f, rows: int = 500):
+    """f over small slices, as sets of a whole batch would be large."""
+    return lambda batches: f(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
+def _lists(own: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i8"), *(x.view("<i8") for x in own)]), pa.int64()))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = [np.unique(shingles(t, WORDS)) for t in b.column("text").to_pylist()]
+        fps = np.array([_key(x) for x in own], dtype="<u8").view("<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), _lists(own)], ["fp", "own"])
+
+
+def _confirm(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of 0.8 or more. Sets are made again, of one document each; where all of a set's have no id, of all without."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    ids = distinct.join(used, "fp", "left_semi").select(F.col("first_id").alias("doc_id"))
+    texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select("text")
+    sets = cut(texts.mapInArrow(_in_parts(_whole), "fp long, own array<long>").groupBy("fp").agg(F.first("own").alias("own")))
+    x, y = (sets.select(F.col("fp").alias(k), F.col("own").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    shared = F.size(F.array_intersect("x", "y"))
+    return cut(pairs.join(x, "a").join(y, "b").where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+
+
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over pairs of similarity 0.8 or more)."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = cut(docs.mapInArrow(_in_parts(_prefixes(*common_shingles(docs))), "doc_id long, fp long, n int, first array<long>"))
+    prints = rows.select("doc_id", "fp")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    firsts = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    at = firsts.select("fp", "n", F.posexplode("first").alias("pos", "t"))
+
+    def meet(at: DataFrame, split: bool) -> DataFrame:
+        dealt = at.repartition("t").sortWithinPartitions("t").select("t", "fp", "n", "pos", "class")
+        return cut(dealt.mapInArrow(_candidates(split), "fp long, b long, t long, n int, pos int").distinct())
+
+    found = meet(at.withColumn("class", F.lit(0).cast("long")), False)
+    pairs = found.where("b is not null").select(F.col("fp").alias("a"), "b")
+    near, crowds = _confirm(docs, distinct, pairs), found.where("b is null")
+    if not crowds.isEmpty():
+        known = components(near).select(F.col("node").alias("fp"), F.col("root").alias("class"))
+        left = crowds.join(known, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
+        others = meet(left, True).select(F.col("fp").alias("a"), "b").join(pairs, ["a", "b"], "left_anti")
+        near = near.unionByName(_confirm(docs, distinct, others))
+    return _named(prints, distinct, components(near))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class, that of the smallest doc_id, stays.
+    """Pipeline stage: one document of each class of similar texts, that of the smallest doc_id, stays.
 
     Rows without an id stay; of rows that repeat a kept id one stays, chosen by text.
     """
-    keep = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    keep = similar_texts(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
     with_id = docs.where(F.col("doc_id").isNotNull()).join(cut(keep), "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1")
     return with_id.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
