@@ -7,7 +7,7 @@ margins break ties. A prediction sums weights over the whole text, so a text of
 one pass.
 
 Learning uses text and non-null lang of documents whose crc32 of the id (as text) is not a multiple
-of 5, `per_lang` documents of each language and MOST in all at most (chosen by a hash of the id, evenly over all rows).
+of 5, at most `per_lang` documents of each language (chosen by a hash of the id, evenly over all rows); every language is learned.
 
 Defined results: a null text or one without a letter is `und` with score 0, as is every text if no
 labelled document exists; with one learned language its score is 1; a null id counts as held out;
@@ -32,8 +32,8 @@ FAMILIES = {
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
 ORDERS, WIDTH = (2, 3, 4), 4096
-#: The bounds of the sample: documents of one language, languages, and documents in all.
-PER_LANG, MAX_LANGS, MOST = 500, 40, 1200
+#: The bounds of the sample: documents of one language, fewer where languages share MOST documents, but never fewer than LEAST.
+PER_LANG, MOST, LEAST = 500, 1200, 100
 _LETTER = re.compile(r"[^\W\d_]")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -141,13 +141,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     """rows: (language, feature numbers, counts)."""
     langs = sorted({r[0] for r in rows})
     families = sorted({family_of(x) for x in langs})
-    x = np.zeros((len(rows), len(ORDERS) * WIDTH), np.float32)
-    for i, (_, at, n) in enumerate(rows):
-        x[i, at] = n
-    norm = np.maximum(1e-9, np.sqrt(np.einsum("ij,ij->i", x, x)))
-    ratio = float(np.mean(x.sum(axis=1) / len(ORDERS) / norm)) if len(rows) else 1.0
-    x /= norm[:, None]
-    gram = x @ x.T
+    norm = [max(1e-9, float(np.sqrt(np.sum(n.astype(np.float64) ** 2)))) for _, _, n in rows]
+    ratio = float(np.mean([n.sum() / len(ORDERS) / v for (_, _, n), v in zip(rows, norm)])) if rows else 1.0
     lang_of, fam_of = np.array([r[0] for r in rows]), np.array([family_of(r[0]) for r in rows])
     pairs, weights, scale = [], [], []
 
@@ -155,12 +150,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
                 at = np.flatnonzero((label == a) | (label == b))
-                coef = svm(gram[np.ix_(at, at)], np.where(label[at] == a, 1.0, -1.0))
-                whole = np.zeros(len(rows), np.float32)
-                whole[at] = coef
-                w = whole @ x
+                x = np.zeros((len(at), len(ORDERS) * WIDTH), np.float32)  # of this pair only: many languages don't fit at once
+                for k, i_row in enumerate(at):
+                    x[k, rows[i_row][1]] = rows[i_row][2] / norm[i_row]
+                coef = svm(x @ x.T, np.where(label[at] == a, 1.0, -1.0))
                 pairs.append((group, a, b))
-                weights.append(w)
+                weights.append(coef.astype(np.float32) @ x)
                 scale.append(3.0 * ratio)
 
     add("family", families, fam_of)
@@ -182,22 +177,20 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "h", "at", "n"])
 
 
-def learn(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
-    """A model from the bounded sample. At most max_langs languages, the most frequent, are learned.
+def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
+    """A model of every language that occurs, from the bounded sample.
 
     The driver gets language counts and at most about per_lang sparse vectors of each language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return Model([], [])
-    per_lang = max(1, min(per_lang, MOST // len(sizes)))
+    per_lang = min(per_lang, max(LEAST, MOST // len(sizes)))
     steps = 1 << 30
-    limit = F.lit(0).cast("long")
-    for r in sizes:
-        share = min(1.0, 1.2 * per_lang / r["n"])
-        limit = F.when(F.col("lang") == r["lang"], F.lit(int(steps * share))).otherwise(limit)
-    picked = labelled.where(F.col("text").isNotNull()).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(steps))).where(F.col("h") < limit)
+    limits = docs.sparkSession.createDataFrame([(r["lang"], int(steps * min(1.0, 1.2 * per_lang / r["n"]))) for r in sizes], "lang string, most long")
+    hashed = labelled.where(F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(steps)).alias("h"))
+    picked = hashed.join(F.broadcast(limits), "lang").where(F.col("h") < F.col("most"))  # a row per language
     rows = picked.select("lang", "text", "h").mapInArrow(_featurize, "lang string, h long, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["h"], bytes(r["at"]), bytes(r["n"])))
     kept, seen = [], {}
