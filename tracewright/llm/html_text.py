@@ -133,7 +133,7 @@ def blocks_of(page: str | None) -> list[Block]:
         own = names.get(key)
         if own is None:
             words = [w.lower() for a in _ATTR.finditer(raw) for w in _WORD.findall(a[2] or a[3] or a[4] or "")]
-            own = names[key] = ("T:" + tag, *("C:" + w for w in words[:8]))
+            own = names[key] = ("T:" + tag, *("C:" + w for w in words))
         stack.append((tag, own))
     flush()
     return out
