@@ -6,3 +6,19 @@ from tracewright.llm import html_text
 def test_all_class_words():
     page = "<div class='col-md-4 col-sm-12 px-3 py-2 bg-light sidebar'><p>x</p></div>"
     assert "C:sidebar" in html_text.blocks_of(page)[0].path
+
+
+def texts(page):
+    return [b.text for b in html_text.blocks_of(page)]
+
+
+def test_only_raw_text_is_dropped():
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["so x=2 holds"]
+    assert texts("<article><noscript><p>no script</p></noscript><object>film</object><canvas>chart</canvas>") == ["no script", "film", "chart"]
+    assert texts("<p>a<svg><path d=''>b<p>c<iframe>d<p>e") == ["a", "b", "c", "d", "e"]
+    assert texts("<p>one<object>two</object>three") == ["one", "two", "three"]
+
+
+def test_ends_on_turkish_pages():
+    assert texts("<p>İİİİ</p><script>var a;</SCRIPT><p>after") == ["İ" * 4, "after"]
+    assert texts("<p>İİ</p><style>p{}</style >x<script>'</scripted>'</script>y") == ["İİ", "x", "y"]

@@ -6,7 +6,7 @@ numpy reads the whole sequence and labels every block, so that each verdict sees
 is trained here, on pages written by a seeded generator of many layouts; no page of a table is used to learn.
 
 Defined results: a null or empty page has an empty text; markup that breaks off is read as far as it goes;
-scripts, styles and comments never become blocks; repeated rows give equal rows; an empty table gives an empty table; columns
+scripts, styles, titles, text areas and comments never become blocks; repeated rows give equal rows; an empty table gives an empty table; columns
 other than page_id, url and html are ignored.
 """
 
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Elements whose content is no text, those within a line, and those without content.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "title", "head", "textarea", "math", "object", "canvas"}
+#: Elements whose content is no text (with where it ends), those within a line, and those without content.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in ("script", "style", "title", "textarea")}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img br input".split())
+INLINE |= set("svg g text tspan math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd mpadded mphantom menclose merror semantics annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES = {"p": {"p"}, "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "td", "th", "tr"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"option"}} | dict.fromkeys(("noscript", "template", "iframe", "object", "canvas"), set())
 SCOPE = {"ul", "ol", "dl", "table", "body", "article", "section", "div", "blockquote", "td", "nav", "aside", "main", "form"}
 #: Tags and class words with a slot of their own in the path vector; others share slots by their hash.
 KNOWN_TAGS = "html body div p article section nav header footer aside main form ul ol li table tr td th h1 h2 h3 h4 blockquote pre figure figcaption dl dt dd button label".split()
@@ -77,7 +78,6 @@ def blocks_of(page: str | None) -> list[Block]:
                 del stack[i:]
                 return
 
-    lower = None
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -99,13 +99,10 @@ def blocks_of(page: str | None) -> list[Block]:
                 flush()
                 close(tag)
             continue
-        if tag in RAW and tag != "head" and not m[3].endswith("/"):
-            if lower is None:
-                lower = page.lower()
-            end = lower.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
-            if tag not in ("svg", "math"):
-                flush()
+        if tag in RAW and not m[3].endswith("/"):
+            end = RAW[tag].search(page, at)
+            at = end.start() if end else len(page)
+            flush()
             continue
         if tag == "a":
             links += 1
