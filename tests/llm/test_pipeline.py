@@ -9,6 +9,7 @@ import numpy as np
 import corpus_pipeline
 from tests.llm import brute
 from tests.llm.test_python_ops import reference
+from tests.llm.test_similar import jaccard_classes
 from tracewright.llm import langid, quality, queries
 
 DIR = "/root/testdata/sf0.001"
@@ -66,7 +67,7 @@ def test_against_brute_force(spark):
     model = langid.learn(quality.stage(spark, docs, DIR))
     found = [model.predict([r[1]])[0] for r in rows]
     rows = [r for r, f in zip(rows, found) if f[0] != "und" and f[2] >= 0.5]
-    classes = brute.classes([(r[0], brute.fingerprint(r[1])) for r in rows])
+    classes = jaccard_classes([r[:2] for r in rows])  # five words, 0.8 or more
     rows = [r for r in rows if classes[r[0]] == r[0]]
     texts = masked([r[:3] for r in rows])
     want = Counter()
@@ -100,3 +101,39 @@ def test_stages_keep_columns(spark):
 def test_empty(spark):
     empty = queries.table(spark, DIR, "documents").limit(0)
     assert corpus_pipeline.STAGES[-1][1](spark, empty, DIR).count() == 0
+
+
+def awkward(spark):
+    """Documents with null texts, null and repeated ids, and columns named as the stages' own."""
+    from pyspark.sql import functions as F
+
+    docs = queries.table(spark, DIR, "documents").where("doc_id % 7 = 0").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = docs.limit(1)
+    odd = odd.withColumn("doc_id", F.lit(None).cast("long")).unionByName(odd.withColumn("text", F.lit(None).cast("string"))).unionByName(odd)
+    out = docs.unionByName(odd)
+    for name in ("_text", "_words", "_lines", "_hashes", "_shift", "_packed", "_again", "_spans", "_d", "_k", "_key", "_nth", "row", "id", "t", "nth", "key", "spans"):
+        out = out.withColumn(name, F.concat(F.lit(name), "doc_id"))
+    return out.withColumn("n_words", F.lit(7)).withColumn("kept", F.lit("mine"))
+
+
+def test_stages_leave_other_columns_alone(spark):
+    docs = awkward(spark)
+    texts = dict(corpus_pipeline.STAGES)["secret_scan"](spark, docs, DIR).select("doc_id", "text").collect()
+    assert Counter(r.doc_id for r in texts) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        before = Counter(tuple(v for k, v in r.asDict().items() if k not in ("text", "n_chars")) for r in docs.collect())
+        after = Counter(tuple(v for k, v in r.asDict().items() if k not in ("text", "n_chars")) for r in out.collect())
+        assert after and not after - before, name
+        if name == "simhash_dedup":
+            assert all(n == 1 for r, n in after.items() if r[0] is not None) and sum(n for r, n in after.items() if r[0] is None) == 1
+
+
+def test_run_over_awkward_tables(spark, tmp_path):
+    docs = awkward(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and {(r.offset, r.length) for r in rows if r.offset + r.length > 1024} == set()
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import cut, shared_dir
 
-__all__ = ["SPACE", "components", "cut", "dense_rank_rows", "shared_dir", "table", "text_of", "words_of"]
+__all__ = ["SPACE", "components", "cut", "dense_rank_rows", "numbered_rows", "shared_dir", "table", "text_of", "words_of"]
 
 #: ASCII white space: space and \x09 to \x0D. A word is a maximal run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,6 +47,23 @@ def dense_rank_rows(rows: DataFrame, key: list[str], order: list[Column], bucket
     return out.drop("_bucket", "_rank", "_b", "_before", *[f"_k{i}" for i in range(len(key))])
 
 
+def numbered_rows(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows, written to the shared folder, with dense numbers 0.. in the plain order of the given columns, nulls first.
+
+    Rows are dealt into ranges and sorted there; one count per range meets in one place. Where very many
+    rows are equal in all order columns, a hash of their place in the input deals them to several ranges.
+    """
+    placed = rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = placed.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    kept = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = kept.withColumn("_part", part).join(starts, "_part").withColumn(name, within + F.col("_start"))
+    return out.select(*rows.columns, name)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, root) per node, root its smallest reachable node.
 
@@ -61,7 +78,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b >= a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        large = large.unionByName(least.select("a", F.col("m").alias("b")))
         down = large.where("b <= a")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

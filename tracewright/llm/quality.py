@@ -130,17 +130,18 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with all metrics, base_failed, failed_rules (names, in the table's order) and kept.
-
-    A filter on kept would be pushed below the projections, which copies every metric's expression
-    into it, sorts and all, once for each element. kept therefore also reads the number of the
-    task, which is never negative: such a filter stays above, and each metric is computed once.
-    """
+    """docs with all metrics, base_failed, failed_rules (names, in the table's order) and kept."""
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     broken = F.filter(F.array(*[F.when(~verdict((r,)), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    return measured(docs, text).withColumns({"base_failed": base, "failed_rules": broken}).withColumn("kept", ~F.col("base_failed") & verdict(rules) & (F.spark_partition_id() >= 0))
+    return measured(docs, text).withColumns({"base_failed": base, "failed_rules": broken}).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, with their own columns."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    """Pipeline stage: the documents that the rules keep, with their own columns, whatever their names.
+
+    A plain filter on kept would be pushed below the projections, which copies every metric's expression
+    into it, sorts and all, once for each element. The column filtered on here reads the number of the
+    task too, which is never negative: such a filter stays above, and each metric is computed once.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return quality_rules(rows).select("row", F.when(F.spark_partition_id() >= 0, F.col("kept")).alias("keep")).where("keep").select("row.*")

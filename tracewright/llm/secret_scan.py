@@ -116,15 +116,17 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, with its secrets masked and n_chars counted anew.
+    """Pipeline stage: every document stays, with its secrets masked and n_chars counted anew. Columns may have any names.
 
     Only the few documents that have a span meet the join with their texts.
     """
-    found = cut(find_secrets(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_k"]))
-    texts = docs.withColumn("_key", F.xxhash64(text_of()))
-    out = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    changed = F.when(F.col("_spans").isNotNull(), masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = out.withColumn("text", changed)
+    found = cut(find_secrets(docs).where(F.size("spans") > 0).select("doc_id", "_key", "spans").dropDuplicates(["doc_id", "_key"]))
+    found = found.select(F.col("doc_id").alias("d"), F.col("_key").alias("k"), "spans")
+    texts = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("key"))
+    out = texts.join(found, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    hit, text = F.col("spans").isNotNull(), F.when(F.col("spans").isNotNull(), masked(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        n = F.col("row.n_chars")
+        changed["n_chars"] = F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(n)
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -1,10 +1,11 @@
 """Shards from a keyed permutation of row numbers.
 
-Rows get dense numbers 0..n-1 in an order fixed by their content. A Feistel network over the
+Rows get dense numbers 0..n-1 in the plain order of their content. A Feistel network over the
 smallest near-square grid a x b >= n, with cycle walking, permutes the numbers; position p of the
 permutation is slot p div s of shard p mod s. The law is `rows`: shard counts differ by one at most.
 The shuffle is reproducible from the seed, and the permutation can be inverted, so that any
-(shard, slot) leads back to a row number.
+(shard, slot) leads back to a row number. The round function is plain integer arithmetic (a square
+modulo a prime below 2 ** 31), so that any engine can compute a place.
 
 Defined results: a null text has no bytes (size 16, CRC 0); repeated rows get numbers of their own
 and are interchangeable; null ids come first; an empty table gives an empty table.
@@ -17,9 +18,11 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dense_rank_rows
+from .common import cut, numbered_rows
 
 ROUNDS = 6
+#: The prime of the round function, and the steps of a walk that are folded at once.
+PRIME, WALK = 2147483647, 64
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -28,43 +31,60 @@ def grid(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
+def round_keys(seed: int) -> list[tuple[int, int, int]]:
+    """(factor, term, term after squaring) of each round, below PRIME."""
+    rng, out = seed, []
+    for _ in range(ROUNDS):
+        key = []
+        for _ in range(3):
+            rng = (rng * 48271 + 11) % PRIME
+            key.append(rng + 1 if rng + 1 < PRIME else 1)
+        out.append((key[0], key[1], key[2]))
+    return out
+
+
 def _once(x: Column, a: int, b: int, seed: int) -> Column:
-    """One pass of the network: the halves in turn gain a hash of the other, modulo their own size."""
-    left, right = x % a, F.call_function("div", x, F.lit(a))
-    for k in range(ROUNDS):
-        if k % 2 == 0:
-            left = (left + F.pmod(F.xxhash64(right, F.lit(seed), F.lit(k)), F.lit(a))) % a
-        else:
-            right = (right + F.pmod(F.xxhash64(left, F.lit(seed), F.lit(k)), F.lit(b))) % b
-    return left + right * a
+    """One pass of the network: the halves in turn gain a mixture of the other, modulo their own size."""
+    state = F.struct((x % a).cast("long").alias("l"), F.call_function("div", x, F.lit(a)).cast("long").alias("r"))
+    keys = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f"k{i}") for i, v in enumerate(k)], F.lit(j % 2 == 0).alias("left")) for j, k in enumerate(round_keys(seed))])
+
+    def step(s: Column, k: Column) -> Column:
+        t = (F.when(k["left"], s["r"]).otherwise(s["l"]) * k["k0"] + k["k1"]) % F.lit(PRIME)
+        mixed = (t * t + k["k2"]) % F.lit(PRIME)
+        left = F.when(k["left"], (s["l"] + mixed) % F.lit(a)).otherwise(s["l"])
+        right = F.when(k["left"], s["r"]).otherwise((s["r"] + mixed) % F.lit(b))
+        return F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+
+    return F.aggregate(keys, state, step, lambda s: s["l"] + s["r"] * F.lit(a))
 
 
 def permuted(x: Column, n: int, seed: int = 17) -> Column:
     """The place of row number x (0 <= x < n) in a pseudo-random permutation of 0..n-1.
 
-    Fewer than a numbers of the grid lie beyond n, and a walk from inside meets each at most once:
-    64 steps are always enough for n up to 4096; for larger n a walk fails to end with a chance
-    below n ** -31, and then the query fails instead of giving a wrong place.
+    A walk from inside meets each number of the grid beyond n at most once, so as many steps as there
+    are such numbers always end it. They are folded WALK at a time, and only for rows that need them.
     """
     a, b = grid(n)
     first = _once(x, a, b, seed)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda p, _: F.when(p < n, p).otherwise(_once(p, a, b, seed)))
-    end = F.when(first < n, first).otherwise(walk)
-    return F.when(end < n, end).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
+    beyond = a * b - n
+    if not beyond:
+        return first
+    inner = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), p, lambda q, _: F.when(q < n, q).otherwise(_once(q, a, b, seed)))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(-(-beyond // WALK))), first, lambda p, _: F.when(p < n, p).otherwise(inner(p)))
+    return F.when(first < n, first).otherwise(walk)
 
 
 def feistel_shards(rows: DataFrame, n_shards: int, order: list[str], seed: int = 17) -> DataFrame:
     """rows with row_number, shard (0..n_shards-1) and slot (gapless from 0), by the law `rows`.
 
-    order: columns that fix the row numbers; rows equal in all of them are interchangeable.
+    order: columns that fix the row numbers, nulls first; rows equal in all of them are interchangeable.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    rows = cut(rows)
-    n = rows.count()
+    numbered = numbered_rows(rows, [F.col(c) for c in order], "row_number")
+    n = numbered.count()
     if not n:
-        return rows.withColumns({"row_number": F.lit(0).cast("long"), "shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    numbered = dense_rank_rows(rows, [], [F.col(c) for c in order], isqrt(n) + 1).withColumnRenamed("rn", "row_number")
+        return numbered.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     place = numbered.withColumn("_place", permuted(F.col("row_number"), n, seed))
     return place.withColumns({"shard": (F.col("_place") % n_shards).cast("int"), "slot": F.call_function("div", F.col("_place"), F.lit(n_shards)).cast("long")}).drop("_place")
 

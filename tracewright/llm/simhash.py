@@ -15,11 +15,15 @@ Defined results: a null text is empty; repeated rows share a class; rows of null
 fingerprint and the class of their links (null if no linked row has an id); an empty table gives an empty table;
 columns other than doc_id and text are ignored.
 
-The pipeline's stage has another measure: two texts link if the sets of their shingles of five words
-have a Jaccard similarity of 0.8 or more. No radius in bits is both safe and selective for that (such pairs differ in
-about ten of 64 bits, and often more), so candidates come from a prefix filter, which loses no pair:
-in any common order of shingles, two such sets share one among the first fifth of each. Shingles
-that a sample shows often come last in that order, which bears on the work only.
+The pipeline's stage takes five words and links two texts if the sets of their shingles have a Jaccard
+similarity of 0.8 or more. Such pairs differ in about ten of 64 bits, so blocks of equal bits cannot deal them
+into shards. A prefix filter does, and loses no pair: in any common order of shingles two such sets share
+one among the first fifth of each. Each shard (a shingle) builds a BK-tree of its members' fingerprints
+and follows edges within WIDE bits (WIDEST for small sets); what it finds is confirmed on the sets. The radius is the
+method's own bound: of the pairs of similarity 0.8 or more, some one in ten thousand differs in more bits. Crowded shards
+first offer only each member's nearest; after those are confirmed, only pairs of unlike class are
+compared there, in blocks of members, so that a group of copies is never paired with itself.
+The order of shingles comes from a sample (rare ones first); it bears on the work, not on the result.
 """
 
 from __future__ import annotations
@@ -39,8 +43,11 @@ RADIUS, BITS, SEED, SHINGLE = 3, 64, 42, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-#: The stage's shingle, the buckets of more members than are paired at once, and the documents that the order of shingles is made from.
-WORDS, CROWD, SAMPLED = 5, 8, 8192
+#: The stage's shingle and radius, the members that a shard pairs at once, the nearest that a crowded one offers,
+#: the members of a block of it, and the documents that the order of shingles is made from.
+WORDS, CROWD, NEAREST, BLOCK, SAMPLED = 5, 16, 2, 2048, 8192
+#: Radii: of sets of SMALL shingles or more, and of smaller ones, whose fingerprints are less steady.
+WIDE, WIDEST, SMALL = 20, 28, 32
 
 
 def fingerprint(text: str | None) -> int:
@@ -121,13 +128,56 @@ class BKTree:
             node = child
 
 
+class BKIndex:
+    """The same tree over an array of distinct or equal 64-bit values, built and searched a level at a time for many queries."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        n = len(values)
+        parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        left, at = np.arange(1, n), np.zeros(max(0, n - 1), np.int64)  # values without a node, and the node each has come to
+        while len(left):
+            d = np.bitwise_count(values[left] ^ values[at]).astype(np.int64)
+            _, first, group = np.unique(at * (BITS + 1) + d, return_index=True, return_inverse=True)
+            node = left[first]
+            parent[node], edge[node] = at[first], d[first]
+            at = node[group]
+            rest = left != at
+            left, at = left[rest], at[rest]
+        self.children = np.argsort(parent, kind="stable")[1:]
+        self.edge = edge[self.children]
+        self.begin = np.searchsorted(parent[self.children], np.arange(n + 1))
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, value number, distance) of all within radius."""
+        q, node, found = np.arange(len(queries)), np.zeros(len(queries), np.int64), []
+        while len(q) and len(self.values):
+            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            hit = d <= radius
+            found.append((q[hit], node[hit], d[hit]))
+            n = self.begin[node + 1] - self.begin[node]
+            child = np.repeat(self.begin[node] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            q, d = np.repeat(q, n), np.repeat(d, n)
+            near = np.abs(self.edge[child] - d) <= radius
+            q, node = q[near], self.children[child[near]]
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+
+def _in_chunks(tree: BKIndex, queries: np.ndarray, radius: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """BKIndex.within for so many queries at a time that what they visit stays small."""
+    step = max(1, most // max(1, len(tree.values)))
+    for at in range(0, len(queries), step):
+        q, v, d = tree.within(queries[at : at + step], radius)
+        yield q + at, v, d
+
+
 def _links(values: list[int]) -> Iterator[tuple[int, int]]:
     """(value, root) for each value that is not its local class's first: links enough to connect each class."""
     if len(values) == 2:
         if (values[0] ^ values[1]).bit_count() <= RADIUS:
             yield values[1], values[0]
         return
-    tree, parent = BKTree(), list(range(len(values)))
+    parent = list(range(len(values)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -135,11 +185,21 @@ def _links(values: list[int]) -> Iterator[tuple[int, int]]:
             i = parent[i]
         return i
 
-    for i, v in enumerate(values):
-        for j in tree.add_and_find(v, RADIUS):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+    def join(i: int, j: int) -> None:
+        a, b = root(i), root(j)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+
+    if len(values) <= 64:
+        tree = BKTree()
+        for i, v in enumerate(values):
+            for j in tree.add_and_find(v, RADIUS):
+                join(i, j)
+    else:
+        table = np.array(values, np.uint64)
+        for q, v, _ in _in_chunks(BKIndex(table), table, RADIUS):
+            for i, j in zip(q[v < q].tolist(), v[v < q].tolist()):
+                join(i, j)
     for i, v in enumerate(values):
         if (r := root(i)) != i:
             yield v, values[r]
@@ -257,11 +317,11 @@ def common_shingles(docs: DataFrame, most: int = 200_000) -> tuple[np.ndarray, n
 
 
 def _prefixes(common: np.ndarray, counts: np.ndarray):
-    """doc_id, fp (the set's number), n (its size) and the first shingles of the set, of which any set with 0.8 of its union shares one."""
+    """doc_id, key (the set's number), fp (its fingerprint), n (its size) and the first shingles of the set, of which any set with 0.8 of its union shares one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes, first = [], [], []
+            keys, fps, sizes, first = [], [], [], []
             for t in b.column("text").to_pylist():
                 own = np.unique(shingles(t, WORDS))
                 n = len(own)
@@ -269,75 +329,125 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     rank = np.where(common[at] == own, counts[at], 0)
-                fps.append(_key(own))
+                keys.append(_key(own))
+                fps.append(_majority(own) if n else 0)
                 sizes.append(n)
                 first.append(own[np.lexsort((own, rank))][: n - (4 * n + 4) // 5 + 1 if n else 0])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, dtype="<u8").view("<i8"), pa.int64()), pa.array(sizes, pa.int32()), _lists(first)], ["doc_id", "fp", "n", "first"])
+            numbers = [pa.array(np.array(x, dtype="<u8").view("<i8"), pa.int64()) for x in (keys, fps)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *numbers, pa.array(sizes, pa.int32()), _lists(first)], ["doc_id", "key", "fp", "n", "first"])
 
     return run
 
 
-def _pairs_of(t: int, rows: list[tuple[int, int, int, int]], split: bool) -> tuple[set[tuple[int, int]], bool]:
-    """Candidates among (fp, n, pos, class) that share shingle t, and whether there are more.
+def _may_reach(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets x and y (numbers into n and pos) can have a similarity of 0.8 by their sizes and by what follows
+    their shingle: an upper bound where that is the first shingle that both have."""
+    small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    return (5 * small >= 4 * large) & (9 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= 4 * (n[x] + n[y]))
 
-    A pair is left out if the sizes, or what follows t in both, cannot reach 0.8: an upper bound where
-    t is the first shingle that both have. Crowds are chained in one of four orders first; split: all pairs of unlike class.
-    """
-    out: set[tuple[int, int]] = set()
-
-    def meet(x: tuple, y: tuple) -> None:
-        if 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1]) and 9 * min(x[1] - x[2], y[1] - y[2]) >= 4 * (x[1] + y[1]):
-            out.add((max(x[0], y[0]), min(x[0], y[0])))
-
-    if not split and len(rows) > CROWD:
-        turn = t % 4
-        rows = sorted(rows, key=lambda r: (r[1], r[0]) if not turn else (r[0] * (2 * turn + 1) * 0x9E3779B97F4A7C15 >> 7 & 0xFFFFFFFF, r[0]))
-        for x, y in zip(rows, rows[1:]):
-            meet(x, y)
-        return out, True
-    rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    for i, x in enumerate(rows):
-        for y in rows[i + 1 :]:
-            if 5 * x[1] < 4 * y[1]:
-                break
-            if x[3] != y[3] or not split:
-                meet(x, y)
-    return out, False
-
-
-def _candidates(split: bool):
-    """Rows (t, fp, n, pos, class) sorted by t to pairs (fp, b), and the rows of crowds, with b null, that are left over."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, told, left = None, [], set(), []
+def _few(rows: list[tuple[int, int, int, int]], told: set[tuple[int, int]]) -> None:
+    """Candidates of a shard of few members (key, fp, n, pos)."""
+    for i, (a, f, m, p) in enumerate(rows):
+        for b, g, n, q in rows[:i]:
+            if (f ^ g).bit_count() <= (WIDE if min(m, n) >= SMALL else WIDEST) and 5 * min(m, n) >= 4 * max(m, n) and 9 * min(m - p, n - q) >= 4 * (m + n):
+                told.add((a, b) if a > b else (b, a))
 
-        def out() -> pa.RecordBatch:
-            rows = [(a, b, None, None, None) for a, b in told] + left
-            told.clear()
-            left.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["fp", "b", "t", "n", "pos"])
 
-        def end() -> None:
-            if len(held) > 1:
-                found, more = _pairs_of(last, held, split)
-                told.update(found)
-                if more:
-                    left.extend((fp, None, last, n, pos) for fp, n, pos, _ in held)
+def _crowd(key: np.ndarray, fp: np.ndarray, n: np.ndarray, pos: np.ndarray, kind: np.ndarray | None, side: np.ndarray | None) -> Iterator[np.ndarray]:
+    """Candidates of a crowded shard as rows (larger key, smaller key).
 
-        for b in batches:
-            for t, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if t != last:
-                    end()
-                    last, held = t, []
-                held.append(tuple(row))
-            if len(told) + len(left) > 20_000:
-                yield out()
-        end()
-        if told or left:
-            yield out()
+    kind None: the nearest few of each member, in blocks of like fingerprints. Else all pairs of unlike kind;
+    side: where it differs within the shard, only pairs of unlike side.
+    """
+    radius = WIDE if n.min() >= SMALL else WIDEST
+    order = np.argsort(fp, kind="stable") if kind is None else np.arange(len(fp))
+    for at in range(0, len(order), BLOCK if kind is None else len(order)):
+        part = order[at : at + BLOCK] if kind is None else order
+        for q, v, d in _in_chunks(BKIndex(fp[part]), fp[part], radius):
+            x, y = part[q], part[v]
+            ok = (key[x] != key[y] if kind is None else (key[x] > key[y]) & (kind[x] != kind[y])) & _may_reach(n, pos, x, y)
+            if side is not None and side.min() != side.max():
+                ok &= side[x] != side[y]
+            x, y, d = x[ok], y[ok], d[ok]
+            if kind is None and len(x):
+                by = np.lexsort((key[y], d, x))
+                x, y = x[by], y[by]
+                start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                nth = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)]))
+                x, y = x[nth < NEAREST], y[nth < NEAREST]
+            yield np.unique(np.stack([np.maximum(key[x], key[y]), np.minimum(key[x], key[y])], axis=1), axis=0)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: str, names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of equal `by` that has two rows or more; a run may go over several batches."""
+    held: list[list[np.ndarray]] = []
+
+    def whole() -> list[np.ndarray]:
+        return held[0] if len(held) == 1 else [np.concatenate(c) for c in zip(*held)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(by).to_numpy(zero_copy_only=False)
+        columns = [b.column(x).to_numpy(zero_copy_only=False) for x in names]
+        starts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+        if held and held[-1][0][-1] != keys[0]:
+            if sum(len(c[0]) for c in held) > 1:
+                yield whole()[1:]
+            held = []
+        ends = np.flatnonzero((np.diff(starts)[:-1] > 1) | bool(held)) if len(starts) > 2 else []
+        for k in ends:
+            s, e = starts[k], starts[k + 1]
+            part = [keys[s:e], *(c[s:e] for c in columns)]
+            if k == 0 and held:
+                held.append(part)
+                yield whole()[1:]
+                held = []
+            elif e - s > 1:
+                yield part[1:]
+        s = starts[-2]
+        last = [keys[s:].copy(), *(c[s:].copy() for c in columns)]
+        held = [*held, last] if held and len(starts) == 2 else [last]
+    if held and sum(len(c[0]) for c in held) > 1:
+        yield whole()[1:]
+
+
+def _table(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (t, key, pos) sorted by t those whose t two or more have, with m, how many."""
+    for t, key, pos in _groups(batches, "t", ["t", "key", "pos"]):
+        yield _table(t=pa.array(t), key=pa.array(key), pos=pa.array(pos, pa.int32()), m=pa.array(np.full(len(t), len(t), np.int64)))
+
+
+def _first_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t, key, fp, n, pos) sorted by t to pairs (a, b): all of a shard of few, of a crowded one the nearest."""
+    told: set[tuple[int, int]] = set()
+
+    def pairs(both: np.ndarray) -> pa.RecordBatch:
+        return _table(a=pa.array(both[:, 0], pa.int64()), b=pa.array(both[:, 1], pa.int64()))
+
+    for key, fp, n, pos in _groups(batches, "t", ["key", "fp", "n", "pos"]):
+        if len(key) <= CROWD:
+            _few(list(zip(key.tolist(), fp.view(np.uint64).tolist(), n.tolist(), pos.tolist())), told)
+        else:
+            for both in _crowd(key, fp.view(np.uint64), n, pos, None, None):
+                yield pairs(both)
+        if len(told) > 20_000:
+            yield pairs(np.array(list(told), np.int64))
+            told.clear()
+    if told:
+        yield pairs(np.array(list(told), np.int64))
 
-    return run
+
+def _more_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, key, fp, n, pos, class, side) sorted by shard to pairs (a, b) of unlike class and, in a shard of two blocks, of unlike side."""
+    for key, fp, n, pos, kind, side in _groups(batches, "shard", ["key", "fp", "n", "pos", "class", "side"]):
+        for both in _crowd(key, fp.view(np.uint64), n, pos, kind, side):
+            yield _table(a=pa.array(both[:, 0], pa.int64()), b=pa.array(both[:, 1], pa.int64()))
 
 
 def _in_parts(f, rows: int = 500):
@@ -352,51 +462,61 @@ def _lists(own: list[np.ndarray]) -> pa.Array:
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         own = [np.unique(shingles(t, WORDS)) for t in b.column("text").to_pylist()]
-        fps = np.array([_key(x) for x in own], dtype="<u8").view("<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), _lists(own)], ["fp", "own"])
+        keys = np.array([_key(x) for x in own], dtype="<u8").view("<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), _lists(own)], ["key", "own"])
 
 
 def _confirm(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets have a Jaccard similarity of 0.8 or more. Sets are made again, of one document each; where all of a set's have no id, of all without."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ids = distinct.join(used, "fp", "left_semi").select(F.col("first_id").alias("doc_id"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ids = distinct.join(used, "key", "left_semi").select(F.col("first_id").alias("doc_id"))
     texts = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select("text")
-    sets = cut(texts.mapInArrow(_in_parts(_whole), "fp long, own array<long>").groupBy("fp").agg(F.first("own").alias("own")))
-    x, y = (sets.select(F.col("fp").alias(k), F.col("own").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    sets = cut(texts.mapInArrow(_in_parts(_whole), "key long, own array<long>").groupBy("key").agg(F.first("own").alias("own")))
+    x, y = (sets.select(F.col("key").alias(k), F.col("own").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     shared = F.size(F.array_intersect("x", "y"))
     return cut(pairs.join(x, "a").join(y, "b").where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
-def similar_texts(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable over pairs of similarity 0.8 or more)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = cut(docs.mapInArrow(_in_parts(_prefixes(*common_shingles(docs))), "doc_id long, fp long, n int, first array<long>"))
-    prints = rows.select("doc_id", "fp")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    firsts = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    at = firsts.select("fp", "n", F.posexplode("first").alias("pos", "t"))
+def _dealt(crowds: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of crowded shards that hold more than one class, dealt into shards of one block or of two, so that each pair of blocks meets once."""
+    left = crowds.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    mixed = left.groupBy("t").agg(F.min("class").alias("_c"), F.max("class").alias("_d")).where("_c < _d").select("t")
+    left = left.join(mixed, "t", "left_semi")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    side = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    spread = left.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.select(F.xxhash64("t", F.least("side", "other"), F.greatest("side", "other")).alias("shard"), "key", "fp", "n", "pos", "class", "side")
 
-    def meet(at: DataFrame, split: bool) -> DataFrame:
-        dealt = at.repartition("t").sortWithinPartitions("t").select("t", "fp", "n", "pos", "class")
-        return cut(dealt.mapInArrow(_candidates(split), "fp long, b long, t long, n int, pos int").distinct())
 
-    found = meet(at.withColumn("class", F.lit(0).cast("long")), False)
-    pairs = found.where("b is not null").select(F.col("fp").alias("a"), "b")
-    near, crowds = _confirm(docs, distinct, pairs), found.where("b is null")
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fp (the set's number), component_id (the smallest doc_id reachable over pairs of similarity 0.8 or more)."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = cut(docs.mapInArrow(_in_parts(_prefixes(*common_shingles(docs))), "doc_id long, key long, fp long, n int, first array<long>"))
+    distinct = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    at = rows.groupBy("key").agg(F.first("first").alias("first")).select("key", F.posexplode("first").alias("pos", "t"))
+    dealt = at.select("t", "key", "pos").repartition("t").sortWithinPartitions("t")
+    shared = dealt.mapInArrow(_shared, "t long, key long, pos int, m long")
+    members = cut(shared.join(distinct.select("key", "fp", "n"), "key"))
+    shards = members.select("t", "key", "fp", "n", "pos").repartition("t").sortWithinPartitions("t")
+    pairs = cut(shards.mapInArrow(_first_candidates, "a long, b long").distinct())
+    near, crowds = _confirm(docs, distinct, pairs), members.where(F.col("m") > CROWD)
     if not crowds.isEmpty():
-        known = components(near).select(F.col("node").alias("fp"), F.col("root").alias("class"))
-        left = crowds.join(known, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
-        others = meet(left, True).select(F.col("fp").alias("a"), "b").join(pairs, ["a", "b"], "left_anti")
-        near = near.unionByName(_confirm(docs, distinct, others))
-    return _named(prints, distinct, components(near))
+        classes = components(near).select(F.col("node").alias("key"), F.col("root").alias("class"))
+        dealt = _dealt(crowds, classes).repartition("shard").sortWithinPartitions("shard")
+        more = dealt.mapInArrow(_more_candidates, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        near = near.unionByName(_confirm(docs, distinct, cut(more)))
+    firsts = distinct.select(F.col("key").alias("fp"), "first_id")
+    return _named(rows.select("doc_id", F.col("key").alias("fp")), firsts, components(near))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class of similar texts, that of the smallest doc_id, stays.
 
-    Rows without an id stay; of rows that repeat a kept id one stays, chosen by text.
+    Rows without an id stay; of rows that repeat a kept id one stays, chosen by text. Columns may have any names.
     """
-    keep = similar_texts(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    with_id = docs.where(F.col("doc_id").isNotNull()).join(cut(keep), "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1")
-    return with_id.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = cut(similar_texts(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("t"))
+    kept = rows.join(keep.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    nth = F.row_number().over(W.partitionBy("id").orderBy("t"))
+    one = kept.withColumn("nth", nth).where("nth = 1")
+    return one.select("row.*").unionByName(rows.where("id is null").select("row.*"))
