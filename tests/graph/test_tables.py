@@ -5,8 +5,9 @@ import math
 import duckdb
 import pytest
 
-from tracewright.plans import tables
+from tracewright.plans import code_tables, tables
 
+QUERIES, SQL = tables.QUERIES | code_tables.QUERIES, tables.SQL | code_tables.SQL
 DIR = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -23,10 +24,10 @@ def same(a, b):
     return math.isclose(a, b, rel_tol=1e-9) if isinstance(a, float) and isinstance(b, float) else a == b
 
 
-@pytest.mark.parametrize("name", sorted(tables.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = tables.QUERIES[name](spark, DIR)
-    found = con.execute(tables.SQL[name])
+    df = QUERIES[name](spark, DIR)
+    found = con.execute(SQL[name])
     columns = [x[0] for x in found.description]
     assert sorted(columns) == sorted(df.columns)
     want = sorted(found.fetchall(), key=repr)

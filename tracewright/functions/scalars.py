@@ -35,6 +35,11 @@ def include_target(includer: str, target: str) -> str:
     return normal_path(posixpath.join(posixpath.dirname(includer), target))
 
 
+def c_source(path: Column) -> Column:
+    """True where path ends in .c or .h."""
+    return F.coalesce(path.endswith(".c") | path.endswith(".h"), F.lit(False))
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

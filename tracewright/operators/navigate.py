@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
 from ..model import DECLARATION, FILE, FUNCTION, TYPE_KINDS
 
+#: Levels of a closure between two writings of what was seen.
+COMPACT = 4
+
 
 def nodes_named(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.where(F.col("name") == name).orderBy("node_id")
@@ -55,25 +60,28 @@ def definition_of(declares: DataFrame, decl_ids: DataFrame) -> DataFrame:
 def transitive_callers(calls: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
     """(node_id, depth): all that reach a seed over calls, with the least number of hops; never a seed itself, even on a cycle.
 
-    One join and one anti-join per level; a level is written once and counted from what was
-    written. The edges are reduced to distinct pairs once. Levels end when one is empty.
+    The edges are reduced to distinct pairs and written once, sorted by target within files, so that a level reads
+    few row groups. A level joins them with the frontier and takes away what was seen; each is written
+    once. What was seen is one table of its own, made anew every few levels, so that a deep chain of
+    calls reads a few tables a level and its plan stays short.
     """
     spark = calls.sparkSession
-    edges = cut(calls.select("src", "dst").where("src <> dst").distinct())
-    levels = [cut(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)))]
-    while max_levels is None or len(levels) <= max_levels:
-        seen = levels[0]
-        for level in levels[1:]:
-            seen = seen.unionByName(level)
-        found = edges.join(levels[-1].select(F.col("node_id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node_id")).distinct()
-        new = cut(found.join(seen.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(len(levels))))
-        if new.isEmpty():
+    pairs = calls.select("src", "dst").where("src <> dst").distinct()
+    edges = cut(pairs.sortWithinPartitions("dst"))
+    seen, recent, depth = cut(seeds.select("node_id").distinct().withColumn("depth", F.lit(0))), [], 0
+    frontier = seen
+    while max_levels is None or depth < max_levels:
+        depth += 1
+        found = edges.join(frontier.select(F.col("node_id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node_id")).distinct()
+        for known in (seen, *recent):
+            found = found.join(known.select("node_id"), "node_id", "left_anti")
+        frontier = cut(found.withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
             break
-        levels.append(new)
-    out = spark.createDataFrame([], "node_id long, depth int")
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        recent.append(frontier)
+        if len(recent) == COMPACT:
+            seen, recent = cut(reduce(DataFrame.unionByName, recent, seen)), []
+    return reduce(DataFrame.unionByName, recent, seen).where("depth > 0")
 
 
 def blast_radius(nodes: DataFrame, calls: DataFrame, name: str) -> DataFrame:

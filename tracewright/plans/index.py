@@ -128,9 +128,17 @@ def graph_of(artifacts: DataFrame) -> Graph:
 
 
 def build_index(spark: SparkSession, root: str) -> Graph:
+    """The graph of a tree: a mounted folder, or a URI (scheme://...) that only Spark reads."""
+    if "://" in root:
+        return index_contents(trees.contents_table(spark, root))
     return graph_of(cut(trees.parse(trees.paths_table(spark, root))))
 
 
+def index_contents(files: DataFrame) -> Graph:
+    """The graph of files given with their contents (path, rel, content)."""
+    return graph_of(cut(trees.parse_contents(files)))
+
+
 @dataclass
 class Reindexed:
     graph: Graph
@@ -152,6 +160,19 @@ def hashes(paths: DataFrame) -> DataFrame:
     return paths.mapInArrow(run, "path string, rel string, hash long")
 
 
+def content_hashes(files: DataFrame) -> DataFrame:
+    """(path, rel, hash) of files given with their contents."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            values = pa.array([None if d is None else content_hash(d) for d in b.column("content").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("rel"), values], ["path", "rel", "hash"])
+
+    return files.select("path", "rel", F.col("content").cast("binary")).mapInArrow(run, "path string, rel string, hash long")
+
+
 def split_unchanged(current: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(artifacts to reuse, paths to parse): a file is unchanged if its path and hash are those of a good prior artifact."""
     good = prior.where(F.col("status") == OK)
@@ -161,10 +182,22 @@ def split_unchanged(current: DataFrame, prior: DataFrame) -> tuple[DataFrame, Da
 
 def reindex(spark: SparkSession, root: str, prior: DataFrame) -> Reindexed:
     """As build_index, but files unchanged since prior are not parsed again. Merging and resolving start anew, so the result is the same."""
+    if "://" in root:
+        return reindex_contents(trees.contents_table(spark, root), prior)
     current = cut(hashes(trees.paths_table(spark, root)))
+    return _merged(current, prior, trees.parse)
+
+
+def reindex_contents(files: DataFrame, prior: DataFrame) -> Reindexed:
+    """As reindex, of files given with their contents (path, rel, content)."""
+    files = cut(files.select("path", "rel", "content"))
+    return _merged(cut(content_hashes(files)), prior, lambda changed: trees.parse_contents(files.join(changed.select("path"), "path", "left_semi")))
+
+
+def _merged(current: DataFrame, prior: DataFrame, parse) -> Reindexed:
     reused, changed = split_unchanged(current, prior)
     reused = cut(reused)
-    parsed = cut(trees.parse(changed.select("path", "rel")))
+    parsed = cut(parse(changed.select("path", "rel")))
     graph = graph_of(cut(reused.select(*prior.columns).unionByName(parsed)))
     return Reindexed(graph, parsed.count(), reused.count())
 
@@ -175,7 +208,8 @@ def load_or_index(spark: SparkSession, root: str, index_path: str | None = None,
     if not refresh:
         try:
             return Graph(*store.load(spark, path), stored=True)
+        except store.NoIndexError:
+            pass
         except store.IndexFormatError as e:
-            if "no index" not in str(e):
-                print(f"warning: {e}; indexing the sources", file=sys.stderr)
+            print(f"warning: {e}; indexing the sources", file=sys.stderr)
     return build_index(spark, root)

@@ -42,8 +42,8 @@ def definitions(spark: SparkSession, d: str, long_names: bool = False) -> DataFr
 
 
 def call_facts(spark: SparkSession, d: str) -> DataFrame:
-    """(file, caller, callee, line) of each distinct first line item."""
-    items = _read(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey")
+    """(file, caller, callee, line) of each distinct line item."""
+    items = _read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     defs = definitions(spark, d).select("node_id", "name", "file")
     caller = defs.select(F.col("node_id").alias("l_partkey"), F.col("name").alias("caller"), "file")
     callee = defs.select(F.col("node_id").alias("l_suppkey"), F.col("name").alias("callee"))
@@ -96,7 +96,7 @@ def type_use_facts(spark: SparkSession, d: str) -> DataFrame:
 # -- the same facts in SQL ---------------------------------------------------
 _DEFS = "defs AS (SELECT p_partkey AS node_id, p_name || ':' || p_type AS name, p_brand AS file, p_partkey AS line, p_size <= 15 AS internal FROM part)"
 _SITES = f"""{_DEFS},
-facts AS (SELECT DISTINCT l_orderkey AS line, c.file AS file, c.name AS caller, d.name AS callee FROM lineitem JOIN defs c ON l_partkey = c.node_id JOIN defs d ON l_suppkey = d.node_id WHERE l_linenumber = 1),
+facts AS (SELECT DISTINCT l_orderkey AS line, c.file AS file, c.name AS caller, d.name AS callee FROM lineitem JOIN defs c ON l_partkey = c.node_id JOIN defs d ON l_suppkey = d.node_id),
 first_def AS (SELECT file, name, min(node_id) AS node_id FROM defs GROUP BY file, name),
 own AS (SELECT file, name, min(node_id) AS node_id FROM defs WHERE internal GROUP BY file, name),
 sites AS (SELECT s.node_id AS src, f.file, f.callee, f.line, o.node_id AS local FROM facts f JOIN first_def s ON s.file = f.file AND s.name = f.caller LEFT JOIN own o ON o.file = f.file AND o.name = f.callee),
@@ -115,21 +115,26 @@ by_name AS (SELECT name, count(*) FILTER (external) AS n_ext, min(node_id) FILTE
 links AS (SELECT s_suppkey, CASE WHEN n_ext = 1 THEN ext WHEN n_ext = 0 AND n = 1 THEN any_id END AS def FROM supplier JOIN defs ON node_id = s_suppkey JOIN by_name USING (name))"""
 
 
-def seed(spark: SparkSession, d: str, defs: DataFrame) -> DataFrame:
-    """The definitions of the least name that a call site can name."""
+def seed_name(spark: SparkSession, d: str, defs: DataFrame) -> str:
+    """The least name that a call site can name: the argument of the queries that ask about one name."""
     named = defs.join(_read(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id")), "node_id", "left_semi")
-    return defs.join(F.broadcast(named.agg(F.min("name").alias("name"))), "name", "left_semi")  # one row
+    return named.agg(F.min("name").alias("name")).first()["name"] or ""
 
 
 # -- queries ------------------------------------------------------------------
 @query(f"WITH {_DEFS} SELECT name, file, line FROM defs WHERE name = {_SEED}")
 def find_definition(spark: SparkSession, d: str) -> DataFrame:
-    return seed(spark, d, definitions(spark, d)).select("name", "file", "line")
+    defs = definitions(spark, d)
+    name = seed_name(spark, d, defs)
+    return navigate.find_definition(defs, name).withColumn("name", F.lit(name))
 
 
-@query("SELECT p_name || ':' || p_type || ':' || p_brand AS name, 'decls.h' AS file, s_suppkey AS line FROM supplier JOIN part ON p_partkey = s_suppkey WHERE p_name LIKE 'b%'")
+@query(f"""WITH long_names AS (SELECT p_name || ':' || p_type || ':' || p_brand AS name, s_suppkey FROM supplier JOIN part ON p_partkey = s_suppkey)
+SELECT 'decls.h' AS file, s_suppkey AS line FROM long_names WHERE name = (SELECT min(name) FROM long_names)""")
 def find_declarations(spark: SparkSession, d: str) -> DataFrame:
-    return declared(spark, d).where((F.col("kind") == DECLARATION) & F.col("name").startswith("b")).select("name", "file", "line")
+    nodes = declared(spark, d)
+    name = nodes.where(F.col("kind") == DECLARATION).agg(F.min("name").alias("name")).first()["name"] or ""
+    return navigate.find_declarations(nodes, name)
 
 
 @query(f"WITH {_CALLS} SELECT * FROM calls")
@@ -140,15 +145,13 @@ def calls_resolved(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CALLS} SELECT DISTINCT c.file, c.line FROM calls JOIN defs t ON t.node_id = dst JOIN defs c ON c.node_id = src WHERE t.name = {_SEED}")
 def who_calls(spark: SparkSession, d: str) -> DataFrame:
     defs = definitions(spark, d)
-    callers = navigate.neighbours(calls(spark, d), seed(spark, d, defs)).distinct()
-    return defs.join(callers, "node_id", "left_semi").select("file", "line").distinct()
+    return navigate.who_calls(defs, calls(spark, d), seed_name(spark, d, defs))
 
 
 @query(f"WITH {_CALLS} SELECT DISTINCT c.file, call_line AS line FROM calls JOIN defs t ON t.node_id = dst JOIN defs c ON c.node_id = src WHERE t.name = {_SEED}")
 def call_sites(spark: SparkSession, d: str) -> DataFrame:
     defs = definitions(spark, d)
-    to = seed(spark, d, defs).select(F.col("node_id").alias("dst"))
-    return calls(spark, d).join(to, "dst", "left_semi").join(defs.select(F.col("node_id").alias("src"), "file"), "src").select("file", F.col("call_line").alias("line")).distinct()
+    return navigate.call_sites(defs, calls(spark, d), seed_name(spark, d, defs))
 
 
 _REACH = f"""WITH RECURSIVE {_CALLS},
@@ -162,13 +165,13 @@ reach(node, depth) USING KEY (node) AS (
 @query(f"{_REACH} SELECT file, line, min(depth)::INT AS depth FROM reach JOIN defs ON node_id = node WHERE depth > 0 GROUP BY file, line")
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     defs = definitions(spark, d)
-    found = navigate.transitive_callers(calls(spark, d), seed(spark, d, defs))
-    return defs.join(found, "node_id").groupBy("file", "line").agg(F.min("depth").alias("depth"))
+    return navigate.blast_radius(defs, calls(spark, d), seed_name(spark, d, defs))
 
 
 @query(f"{_REACH} SELECT depth::INT AS depth, count(*) AS nodes FROM reach WHERE depth > 0 GROUP BY depth")
 def blast_radius_depth(spark: SparkSession, d: str) -> DataFrame:
-    found = navigate.transitive_callers(calls(spark, d), seed(spark, d, definitions(spark, d)))
+    defs = definitions(spark, d)
+    found = navigate.transitive_callers(calls(spark, d), defs.where(F.col("name") == seed_name(spark, d, defs)))
     return found.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
 
 
@@ -219,15 +222,39 @@ def who_uses_type(spark: SparkSession, d: str) -> DataFrame:
     return navigate.who_uses_type(nodes, resolve.type_use_edges(nodes, type_use_facts(spark, d)), name)
 
 
-@query(f"WITH {_CALLS}, {_DECLARES.replace('defs AS', 'long_defs AS').replace('FROM defs', 'FROM long_defs').replace('JOIN defs', 'JOIN long_defs')} SELECT ((SELECT count(*) FROM calls) + (SELECT count(def) FROM links))::BIGINT AS edges")
+_LONG = _DECLARES.replace("defs AS", "long_defs AS").replace("FROM defs", "FROM long_defs").replace("JOIN defs", "JOIN long_defs")
+_FOUR = f"""WITH {_CALLS}, {_LONG},
+includes AS (SELECT * FROM (WITH {_INCLUDES} SELECT * FROM resolved) WHERE includee IS NOT NULL),
+uses AS (SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey, (SELECT count(*) AS n FROM part) JOIN defs d ON d.node_id = c_custkey % n),
+total AS (SELECT ((SELECT count(*) FROM calls) + (SELECT count(def) FROM links) + (SELECT count(*) FROM includes) + (SELECT count(*) FROM uses))::BIGINT AS edges)"""
+
+
+def _relations(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Declares, calls, includes, type uses."""
+    uses = resolve.type_use_edges(typed(spark, d), type_use_facts(spark, d))
+    return [resolve.declaration_links(declared(spark, d)), calls(spark, d), resolve.include_edges(includes(spark, d)), uses]
+
+
+@query(f"{_FOUR} SELECT edges FROM total")
 def edge_count(spark: SparkSession, d: str) -> DataFrame:
-    return measure.edge_count(calls(spark, d), resolve.declaration_links(declared(spark, d)))
+    return measure.edge_count(*_relations(spark, d)).select(F.col("edges").cast("long").alias("edges"))
+
+
+def _all_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return declared(spark, d).unionByName(include_files(spark, d)).unionByName(typed(spark, d).where("kind = 'Struct'"))
 
 
 @query("SELECT 'Function' AS kind, count(*) AS n FROM part UNION ALL SELECT 'FunctionDecl', count(*) FROM supplier JOIN part ON p_partkey = s_suppkey UNION ALL SELECT 'File', count(*) FROM customer UNION ALL SELECT 'Struct', count(*) FROM nation")
+def nodes_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    return measure.nodes_by_kind(_all_nodes(spark, d))
+
+
+@query(f"""{_FOUR} SELECT (SELECT count(*) FROM customer) AS files, (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier JOIN part ON p_partkey = s_suppkey)
++ (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation) AS nodes, edges, (SELECT count(*) FROM documents WHERE lang IS NULL) AS skipped FROM total""")
 def index_summary(spark: SparkSession, d: str) -> DataFrame:
-    nodes = declared(spark, d).unionByName(include_files(spark, d)).unionByName(typed(spark, d).where("kind = 'Struct'"))
-    return measure.nodes_by_kind(nodes)
+    skipped = _read(spark, d, "documents").where("lang is null").select("doc_id")
+    found = measure.index_summary(_all_nodes(spark, d), _relations(spark, d), skipped)
+    return found.select("files", "nodes", F.col("edges").cast("long").alias("edges"), "skipped")
 
 
 @query("SELECT doc_id, i AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) t, LATERAL (SELECT unnest(range(1, len(parts) + 1))::INT AS i) WHERE regexp_matches(parts[i], '(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])')")
@@ -283,13 +310,6 @@ def even_sample(spark: SparkSession, d: str) -> DataFrame:
     return measure.even_sample(definitions(spark, d), 50)
 
 
-@query("SELECT count(*) AS files, sum(strlen(text)) ::BIGINT AS bytes, sum(len(text) - len(replace(text, chr(10), ''))) ::BIGINT AS lines FROM documents")
-def input_size(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents")
-    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return docs.agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.sum(newlines).cast("long").alias("lines"))
-
-
 @query("SELECT p_partkey AS node_id, p_brand AS file FROM part WHERE p_name || ':' || p_type = (SELECT max(p_name || ':' || p_type) FROM part)")
 def nodes_named(spark: SparkSession, d: str) -> DataFrame:
     defs = definitions(spark, d)
@@ -330,3 +350,23 @@ def definition_of(spark: SparkSession, d: str) -> DataFrame:
     links = navigate.definition_of(resolve.declaration_links(nodes), nodes.where(F.col("kind") == DECLARATION))
     at = nodes.select(F.col("node_id").alias("def"), "file")
     return links.join(at, "def").groupBy(F.col("def").alias("node_id"), "file").agg(F.count(F.lit(1)).alias("declarations"))
+
+
+def _grep_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(file, line, text) of every line of the documents."""
+    docs = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    return docs.select("file", (F.col("pos") + 1).alias("line"), "text")
+
+
+_WORDS = ("the", "der", "License", "C++", "e")
+
+
+@query("SELECT w AS symbol, doc_id::VARCHAR AS file, i AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) t, LATERAL (SELECT unnest(range(1, len(parts) + 1))::INT AS i), (SELECT unnest(['the', 'der', 'License', 'C++', 'e']) AS w) WHERE contains(parts[i], w) AND regexp_matches(parts[i], '(^|[^A-Za-z0-9_])' || regexp_escape(w) || '($|[^A-Za-z0-9_])')")
+def grep_many(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that hold any of a few symbols, one of them no plain word, in one pass."""
+    return search.grep_many(_grep_lines(spark, d), list(_WORDS))
+
+
+@query("SELECT doc_id::VARCHAR AS file, i AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) t, LATERAL (SELECT unnest(range(1, len(parts) + 1))::INT AS i) WHERE regexp_matches(parts[i], '(^|[^A-Za-z0-9_])License($|[^A-Za-z0-9_])')")
+def grep_lines(spark: SparkSession, d: str) -> DataFrame:
+    return search.grep(_grep_lines(spark, d), "License")

@@ -2,8 +2,9 @@
 
 Recognised: function definitions and prototypes whose name stands right before its parameters and
 behind one `*` at most; calls of plain names inside functions; named types with bodies; typedefs of
-plain names; names in type position inside functions. A source with unbalanced brackets or
-an unterminated literal or comment is a syntax error as a whole.
+plain names; names in type position inside functions. A source is a syntax error as a whole if brackets
+are unbalanced, a literal or comment does not end, a sign is no part of C, an initialiser is empty, or a
+statement or the last declaration lacks its semicolon.
 """
 
 from __future__ import annotations
@@ -50,11 +51,57 @@ def _partners(tokens: list[Token]) -> dict[int, int]:
     return out
 
 
+#: Signs that no C token begins with, once directives and literals are gone.
+STRAY = set("@`\\#")
+#: What may stand before the brace of a block of statements, and keywords whose brackets are no statement's head.
+BEFORE_BLOCK, NO_HEAD = {";", "{", "}", ":"}, {"return", "sizeof", "case", "_Alignof", "alignof", "typeof", "__typeof__"}
+
+
+def _check(tokens: list[Token], partner: dict[int, int], opened: dict[int, int]) -> None:
+    """Raise _Broken for a stray sign, an empty initialiser, or a statement or declaration without its semicolon."""
+    text = lambda i: tokens[i].text if 0 <= i < len(tokens) and tokens[i].kind in ("op", "id") else ""
+    blocks: set[int] = set()
+    around: list[int] = []  # the braces that are open
+    for i, t in enumerate(tokens):
+        if t.kind != "op":
+            continue
+        if t.text == "}":
+            around.pop()
+        if t.text in STRAY:
+            raise _Broken
+        if t.text == "=" and text(i + 1) in (";", ",", ")", "}", "]", "="):
+            raise _Broken
+        if t.text == "{":
+            before = text(i - 1)
+            if before == ")":
+                head = opened[i - 1] - 1
+                if head >= 0 and tokens[head].kind == "id" and tokens[head].text not in NO_HEAD or text(head) == ")":
+                    blocks.add(i)
+            elif before in ("else", "do") or (before in BEFORE_BLOCK and around and around[-1] in blocks):
+                blocks.add(i)
+            around.append(i)
+    for o in blocks:
+        last = partner[o] - 1
+        if last > o and text(last) not in (";", "}", ":"):
+            raise _Broken
+    depth, open_ = 0, False
+    for t in tokens:
+        if t.kind == "op" and t.text in "([{":
+            depth += 1
+        elif t.kind == "op" and t.text in ")]}":
+            depth -= 1
+        if not depth:
+            open_ = not (t.kind == "op" and t.text in (";", "}"))
+    if open_:
+        raise _Broken
+
+
 class _Reader:
     def __init__(self, tokens: list[Token]) -> None:
         self.t = tokens
         self.partner = _partners(tokens)
         self.opened = {c: o for o, c in self.partner.items()}
+        _check(tokens, self.partner, self.opened)
         #: Names of prototypes inside bodies.
         self.declared: set[int] = set()
         self.facts = Facts()

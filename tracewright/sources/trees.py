@@ -50,10 +50,21 @@ def crawl(root: str) -> list[str]:
 def paths_table(spark: SparkSession, root: str, files_per_task: int = 64) -> DataFrame:
     """(path, rel) of every C source below root, dealt so that slow files balance."""
     rows = [(p, os.path.relpath(p, root).replace(os.sep, "/")) for p in crawl(root)]
-    tasks = max(1, min(4096, -(-len(rows) // files_per_task)))
+    tasks = max(1, -(-len(rows) // files_per_task))
     return spark.createDataFrame(rows, "path string, rel string").repartition(tasks)
 
 
+def contents_table(spark: SparkSession, root: str) -> DataFrame:
+    """(path, rel, content) of every C source below root, listed and read by Spark's own source, from any store that it reads.
+
+    Listing and reading are distributed and tasks are cut by bytes; files and folders whose name begins with _ or . are passed over, as Spark does.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{c,h}").load(root)
+    base = root.rstrip("/") + "/"
+    rel = F.substring_index("path", base.split("://", 1)[-1], -1)
+    return files.select("path", rel.alias("rel"), "content")
+
+
 def artifact(path: str, rel: str, data: bytes | None) -> dict:
     """One file's row. data None: it could not be read."""
     row = dict.fromkeys(_SCHEMA.names) | {"path": path, "rel": rel, "status": UNREADABLE, "hash": 0, "bytes": 0, "lines": 0}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES = ("find-definition", "who-calls")
 
@@ -34,3 +35,20 @@ def load_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                 queries.append(row[:2])
                 expected += [(*row[:2], file, line) for file, line in row[2]]
     return spark.createDataFrame(queries, "query string, symbol string"), spark.createDataFrame(expected, "query string, symbol string, file string, line int")
+
+
+def truth_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As load_truth, of lines (column value) in a DataFrame: read in Arrow batches, whatever their number."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("file", pa.string()), ("line", pa.int32())]))
+
+    def run(batches):
+        for b in batches:
+            rows = [r for r in (parse_line(v or "", "ground truth") for v in b.column("value").to_pylist()) if r]
+            places = [[{"file": f, "line": n} for f, n in r[2]] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(places, kind)], ["query", "symbol", "places"])
+
+    found = lines.select("value").mapInArrow(run, "query string, symbol string, places array<struct<file:string,line:int>>")
+    each = found.select("query", "symbol", F.explode("places").alias("p")).select("query", "symbol", "p.file", "p.line")
+    return found.select("query", "symbol").distinct(), each

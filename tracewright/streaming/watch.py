@@ -22,9 +22,7 @@ def merged(spark: SparkSession, batch: DataFrame, index_path: str) -> None:
     fresh = trees.parse_contents(batch.where("content is not null"))
     try:
         prior = store.load(spark, index_path)[1]
-    except store.IndexFormatError as e:
-        if "no index" not in str(e):
-            raise
+    except store.NoIndexError:
         prior = None
     kept = fresh if prior is None else prior.join(batch.select("path"), "path", "left_anti").select(*fresh.columns).unionByName(fresh)
     graph_of(cut(kept)).save(index_path)
