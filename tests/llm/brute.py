@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, written from their contracts."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -83,3 +84,42 @@ def conversations(rows):
         loss = "".join(text for _, role, text in turns if role == "assistant")
         out[conv] = (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
+
+
+def language(text, model, family_of):
+    """(language, family, score) by loops over the bytes of one text."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", "und", 0.0
+    data = []
+    for c in (text or "").encode():
+        letter = 97 <= c <= 122 or c >= 128
+        data.append(c + 32 if 65 <= c <= 90 else c if letter else 32)
+    data = [32, *data, 32]
+    chance = {}
+    for j, (group, a, b) in enumerate(model.pairs):
+        total = 0.0
+        for k, n in enumerate((2, 3, 4)):
+            for i in range(len(data) - n + 1):
+                h = 0
+                for c in data[i : i + n]:
+                    h = (h * 257 + c) % 2**32
+                total += float(model.weights[((h * 2654435761) % 2**32 >> 20) + k * 4096][j])
+        x = max(-30.0, min(30.0, total / len(data) * float(model.scale[j])))
+        chance[group, a, b] = 1 / (1 + math.exp(-x))
+
+    def vote(group, names):
+        best = None
+        for v in names:
+            won, sure = 0.0, 1.0
+            for (g, a, b), p in chance.items():
+                if g == group and v in (a, b):
+                    own = p if v == a else 1 - p
+                    won += own / 100 + ((p >= 0.5) == (v == a))
+                    sure = min(sure, own)
+            if best is None or (won, v) > best[:2]:
+                best = (won, v, sure)
+        return best[1], best[2]
+
+    family, s = vote("family", model.families)
+    lang, t = vote(family, [x for x in model.langs if family_of(x) == family])
+    return lang, family, min(s, t)

@@ -136,22 +136,45 @@ def test_top_k(spark):
     assert all([n for n, _, _ in sorted(v)] == list(range(1, 11)) for v in got.values())
 
 
+def exact_top(rows, k=10):
+    """By Python integers, the shorter vector going on in zeros; equal rows count once."""
+    whole = [(i, [int(np.floor(c * 1024)) if abs(c) < 1e300 else int(c) * 1024 for c in v]) for i, v in {(i, tuple(v)) for i, v in rows}]
+    out = {}
+    for q, x in sorted(((i, v) for i, v in whole if i % 100 == 0), reverse=True):
+        scored = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in whole if i != q)
+        out[q] = [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in scored[:k]]
+    return out
+
+
+def answers(df, **kw):
+    got = {}
+    for r in mtree.top_k(df, lambda i: i % 100 == 0, **kw).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: [(i, s) for _, i, s in sorted(v)] for q, v in got.items()}
+
+
 def test_top_k_odd(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist(), 1) for i in range(900)]
     rows += [(i, [0.5, 0.5, 0.5, 0.5], 1) for i in range(900, 1500)]
-    bad = [(2000, None, 1), (2100, [None, 1.0, 1.0, 1.0], 1), (2200, [float("nan")] * 4, 1), (2300, [float("inf"), 0.0, 0.0, 0.0], 1), (2400, [], 1), (2500, [1.0], 1), (None, [1.0, 1.0, 1.0, 1.0], 1)]
-    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, score int")
-    got = {}
-    for r in mtree.top_k(df, lambda i: i % 100 == 0, shard_rows=400).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    pairs = [(i, v) for i, v, _ in rows]
-    assert {q: [(i, s) for _, i, s in sorted(v)] for q, v in got.items()} == brute_top(pairs, [p for p in pairs if p[0] % 100 == 0])
+    other = [(2400, [], 1), (2500, [1.0], 1), (2501, [0.25] * 9, 1), (2501, [0.25] * 9, 1)]
+    bad = [(2000, None, 1), (2100, [None, 1.0, 1.0, 1.0], 1), (2200, [float("nan")] * 4, 1), (2300, [float("inf"), 0.0, 0.0, 0.0], 1), (None, [1.0, 1.0, 1.0, 1.0], 1)]
+    df = spark.createDataFrame(rows + other + bad, "vec_id long, embedding array<double>, score int")
+    assert answers(df, shard_rows=100) == exact_top([(i, v) for i, v, _ in rows + other])
     few = spark.createDataFrame(rows[:3], df.schema)
     assert mtree.top_k(few, lambda i: i % 100 == 0).count() == 2
     assert mtree.top_k(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_top_k_large_components(spark):
+    rng = np.random.default_rng(5)
+    for scale in (1e6, 1e12, 1e200):
+        rows = [(i, (np.floor(rng.normal(0, 3, 5)) * scale * rng.choice([1, 1, 1e-6])).tolist()) for i in range(300)]
+        rows += [(300 + i, rows[i][1]) for i in range(20)] + [(400, [1.7e308, -1.7e308, 0.0, 1.0, 0.0])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert answers(df, shard_rows=60) == exact_top(rows), scale
+
+
 def test_search_skips_distances():
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 500, (20, 8))

@@ -25,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: A comment, a tag with its attributes (a quote counts right after an equals sign only, as HTML has it), or a declaration.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?)*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S
+)
+_ATTR = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
+_NAMES = {"class", "id", "role"}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements whose content is no text (with where it ends), those within a line, and those without content.
 RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in ("script", "style", "title", "textarea")}
@@ -129,7 +133,7 @@ def blocks_of(page: str | None) -> list[Block]:
         key = tag + raw
         own = names.get(key)
         if own is None:
-            words = [w.lower() for a in _ATTR.finditer(raw) for w in _WORD.findall(a[2] or a[3] or a[4] or "")]
+            words = [w.lower() for a in _ATTR.finditer(raw) if a[1].lower() in _NAMES for w in _WORD.findall(a[2] or a[3] or a[4] or "")]
             own = names[key] = ("T:" + tag, *("C:" + w for w in words))
         stack.append((tag, own))
     flush()
@@ -158,7 +162,7 @@ def features(blocks: list[Block]) -> np.ndarray:
 
 
 class Labeller:
-    """A bidirectional LSTM with one logit per block. Weights: per direction (input, recurrent, bias), the output layer, and a skip from the block's own features to it."""
+    """A bidirectional LSTM with one logit per block. Weights: per direction (input, recurrent, bias), and the output layer."""
 
     def __init__(self, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
@@ -171,7 +175,6 @@ class Labeller:
             bias[HIDDEN : 2 * HIDDEN] = 1
             self.w["b" + s] = bias
         self.w["o"] = rng.normal(0, 0.3, (2 * HIDDEN, 1)).astype(np.float32)
-        self.w["s"] = np.zeros((d, 1), np.float32)
         self.w["c"] = np.zeros(1, np.float32)
 
     def _run(self, x: np.ndarray, mask: np.ndarray, s: str, keep: bool):
@@ -198,17 +201,17 @@ class Labeller:
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(x, mask, s, False)[0] for s in "fb"], axis=2)
-        return (both @ self.w["o"] + x @ self.w["s"])[..., 0] + self.w["c"][0]
+        return (both @ self.w["o"])[..., 0] + self.w["c"][0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         runs = {s: self._run(x, mask, s, True) for s in "fb"}
         both = np.concatenate([runs[s][0] for s in "fb"], axis=2)
-        z = (both @ self.w["o"] + x @ self.w["s"])[..., 0] + self.w["c"][0]
+        z = (both @ self.w["o"])[..., 0] + self.w["c"][0]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         total = mask.sum()
         loss = float(-(np.log(np.where(y > 0.5, p, 1 - p) + 1e-9) * mask).sum() / total)
         dz = ((p - y) * mask / total).astype(np.float32)
-        grad = {"o": np.einsum("tbh,tb->h", both, dz)[:, None], "s": x.reshape(-1, x.shape[2]).T @ dz.reshape(-1, 1), "c": np.array([dz.sum()], np.float32)}
+        grad = {"o": np.einsum("tbh,tb->h", both, dz)[:, None], "c": np.array([dz.sum()], np.float32)}
         dboth = dz[..., None] * self.w["o"][:, 0]
         for k, s in enumerate("fb"):
             dout = dboth[..., k * HIDDEN : (k + 1) * HIDDEN]

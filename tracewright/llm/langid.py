@@ -16,13 +16,13 @@ repeated rows give equal rows; an empty table gives an empty table; columns othe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Families of common languages; a language not named here is a family of its own.
@@ -33,11 +33,15 @@ FAMILIES = {
 }
 ORDERS, WIDTH = (2, 3, 4), 4096
 #: The bounds of the sample: documents of one language, fewer where languages share MOST documents, but never fewer than LEAST.
-PER_LANG, MOST, LEAST = 500, 1200, 100
-_LETTER = re.compile(r"[^\W\d_]")
+PER_LANG, MOST, LEAST = 500, 2000, 100
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter by its Unicode class; number signs such as one half are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), f"only-{lang}")
 
@@ -97,7 +101,7 @@ class Model:
         chance = 1 / (1 + np.exp(-np.clip(self.sums(texts) * self.scale, -30, 30)))
         out = []
         for t, p in zip(texts, chance):
-            if not t or not _LETTER.search(t):
+            if not has_letter(t):
                 out.append(("und", "und", 0.0))
                 continue
             fam, a = self._vote("family", self.families, p)
@@ -117,32 +121,36 @@ class Model:
         return best, float(sure[best])
 
 
-def svm(gram: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 40) -> np.ndarray:
-    """Dual coordinate descent for the squared hinge: the coefficient (sign included) of each row."""
-    n = len(y)
-    alpha, f = np.zeros(n), np.zeros(n)
-    diag = gram.diagonal() + 0.5 / c
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def svm(rows: list[Row], y: np.ndarray, width: int, c: float = 10.0, epochs: int = 40) -> np.ndarray:
+    """Weights by dual coordinate descent for the squared hinge, over sparse rows (feature numbers, values of norm 1): memory for the rows and one vector."""
+    w, alpha = np.zeros(width), np.zeros(len(rows))
+    diag = [float(v @ v) + 0.5 / c for _, v in rows]
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(n):
-            grad = y[i] * f[i] - 1 + alpha[i] * 0.5 / c
-            new = max(0.0, alpha[i] - grad / diag[i])
+        for i in rng.permutation(len(rows)):
+            at, v = rows[i]
+            new = max(0.0, alpha[i] - (y[i] * float(w[at] @ v) - 1 + alpha[i] * 0.5 / c) / diag[i])
             if abs(new - alpha[i]) > 1e-6:
-                f += gram[i] * ((new - alpha[i]) * y[i])
+                w[at] += (new - alpha[i]) * y[i] * v
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return alpha * y
+    return w
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     """rows: (language, feature numbers, counts)."""
     langs = sorted({r[0] for r in rows})
     families = sorted({family_of(x) for x in langs})
+    width = len(ORDERS) * WIDTH
     norm = [max(1e-9, float(np.sqrt(np.sum(n.astype(np.float64) ** 2)))) for _, _, n in rows]
     ratio = float(np.mean([n.sum() / len(ORDERS) / v for (_, _, n), v in zip(rows, norm)])) if rows else 1.0
+    unit: list[Row] = [(at, n.astype(np.float64) / v) for (_, at, n), v in zip(rows, norm)]
     lang_of, fam_of = np.array([r[0] for r in rows]), np.array([family_of(r[0]) for r in rows])
     pairs, weights, scale = [], [], []
 
@@ -150,18 +158,14 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
                 at = np.flatnonzero((label == a) | (label == b))
-                x = np.zeros((len(at), len(ORDERS) * WIDTH), np.float32)  # of this pair only: many languages don't fit at once
-                for k, i_row in enumerate(at):
-                    x[k, rows[i_row][1]] = rows[i_row][2] / norm[i_row]
-                coef = svm(x @ x.T, np.where(label[at] == a, 1.0, -1.0))
                 pairs.append((group, a, b))
-                weights.append(coef.astype(np.float32) @ x)
+                weights.append(svm([unit[k] for k in at], np.where(label[at] == a, 1.0, -1.0), width).astype(np.float32))
                 scale.append(3.0 * ratio)
 
     add("family", families, fam_of)
     for fam in families:
         add(fam, [v for v in langs if family_of(v) == fam], lang_of)
-    table = np.stack(weights, axis=1).astype(np.float32) if weights else np.zeros((len(ORDERS) * WIDTH, 0), np.float32)
+    table = np.stack(weights, axis=1) if weights else np.zeros((width, 0), np.float32)
     return Model(langs, families, pairs, table, np.array(scale))
 
 
@@ -180,7 +184,8 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model of every language that occurs, from the bounded sample.
 
-    The driver gets language counts and at most about per_lang sparse vectors of each language.
+    The driver gets language counts and per_lang sparse vectors of each language at most: rows are ranked within
+    their language before any leaves its task, so an id or a text that repeats without end adds no more.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -190,15 +195,12 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     steps = 1 << 30
     limits = docs.sparkSession.createDataFrame([(r["lang"], int(steps * min(1.0, 1.2 * per_lang / r["n"]))) for r in sizes], "lang string, most long")
     hashed = labelled.where(F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(steps)).alias("h"))
-    picked = hashed.join(F.broadcast(limits), "lang").where(F.col("h") < F.col("most"))  # a row per language
-    rows = picked.select("lang", "text", "h").mapInArrow(_featurize, "lang string, h long, at binary, n binary").collect()
+    near = hashed.join(F.broadcast(limits), "lang").where(F.col("h") < F.col("most"))  # a row per language
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    picked = near.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "text", "h")
+    rows = picked.mapInArrow(_featurize, "lang string, h long, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["h"], bytes(r["at"]), bytes(r["n"])))
-    kept, seen = [], {}
-    for r in rows:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= per_lang:
-            kept.append((r["lang"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(np.float32)))
-    return train(kept)
+    return train([(r["lang"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4").astype(np.float32)) for r in rows])
 
 
 def _labeller(model: Model):
