@@ -23,13 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that later steps and lost executors don't compute it again."""
+def cut(df: DataFrame, by: str | None = None, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back, so that later steps and lost executors don't compute it again.
+
+    by: a column whose values the table is bucketed by, so that a join or group on it moves no row of the table again.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name.replace('_', '-')}"
     _made.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.options(**options).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").options(path=path, **options).bucketBy(buckets, by).saveAsTable(name)
+    return spark.table(name)
 
 
 def release(spark: SparkSession) -> int:
