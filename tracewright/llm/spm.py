@@ -1,18 +1,19 @@
-"""SentencePiece encoding and decoding by a lattice of pieces per word.
+"""SentencePiece encoding and decoding by a relational lattice of pieces.
 
-The pieces of the model are a table (piece, id, score). A word is a run of word-begin marks and the
-characters up to the next mark; no piece reaches over its end (checked when the model is read). Its
-lattice holds an edge for every substring, of the longest piece's length at most, that equals a piece.
+The pieces of the model are a table (piece, id, rank). A text, its spaces marks, is cut into units wherever no
+piece holds the two characters at the cut side by side, so that no piece reaches over a unit's end. Units of one
+character, and those too long for a lattice (LONGEST characters), are known from the model; the others are encoded
+in DataFrame operations, each distinct unit of the corpus once: substrings of bounded length are exploded, met with the piece
+table in a broadcast equi-join (its size is the model's, and is checked), grouped by unit into the edges of its lattice, and
+folded by a higher-order aggregate.
 
 Two folds read a lattice. For a unigram model, Viterbi: the path of the greatest sum of scores. For a
 BPE model that path is wrong, as BPE joins the best-scoring neighbours first; there the fold removes one
 cut between neighbours at a time, best edge first, leftmost of equals. Characters that no piece covers become byte pieces.
 
-`encode_words` does this for a table of distinct words in DataFrame operations: substrings are
-exploded, met with the piece table in a broadcast equi-join (its size is the model's, and is checked), grouped by
-word, and folded by a higher-order aggregate. Whole documents take `encode_documents`, which builds
-the same lattices inside Arrow batches, for the words that a worker has not met yet: meeting every
-document's words with a corpus-wide word table would shuffle several times the input.
+Documents are cut into units in Arrow batches, in blocks of bounded size: a block holds its distinct units and each document's
+places among them. Only block vocabularies meet the units' ids; those come back to the block (a table bucketed by
+block), where each document's ids are put together and decoded. No text is shuffled.
 
 Defined results: a null or empty text has no ids; every text decodes to itself, but that a mark U+2581 in it becomes a space
 and a lone surrogate a replacement sign; repeated rows give equal rows; an empty table gives an empty table; columns other than doc_id and text are ignored.
@@ -21,7 +22,9 @@ and a lone surrogate a replacement sign; repeated rows give equal rows; an empty
 from __future__ import annotations
 
 import heapq
+import pickle
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,13 +34,16 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 MODEL, MARK = "piece_bpe_32k.model", "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Words kept per worker, about 200 bytes each; and the most pieces that may be broadcast.
-KEPT, MOST_PIECES = 1_000_000, 1_000_000
+#: The most pieces that may be broadcast; the longest unit that takes a lattice; characters and distinct words of a block.
+MOST_PIECES, LONGEST, BLOCK_CHARS, BLOCK_WORDS = 1_000_000, 48, 16_000_000, 400_000
 
 
 @dataclass
@@ -49,7 +55,8 @@ class Pieces:
     bytes_of: list[bytes]
     byte_ids: list[int]
     longest: int
-    kept: dict[str, bytes] = field(default_factory=dict)
+    #: Neighbours that some piece holds.
+    pairs: set[str] = field(default_factory=set)
 
     @classmethod
     def read(cls, path: str | None = None) -> Pieces:
@@ -65,7 +72,20 @@ class Pieces:
         for i in range(len(every)):
             if m.is_control(i) or m.is_unknown(i):
                 text[i] = b""
-        return cls(plain, {p: m.get_score(i) for p, i in plain.items()}, text, byte_ids, max(map(len, plain)))
+        if any(c not in plain for p in plain for c in p):
+            raise ValueError("a character of a piece is no piece")
+        pairs = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
+        return cls(plain, {p: m.get_score(i) for p, i in plain.items()}, text, byte_ids, max(map(len, plain)), pairs)
+
+    def units(self, word: str) -> list[str]:
+        """word cut wherever no piece holds both neighbours."""
+        out, start, pairs = [], 0, self.pairs
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in pairs:
+                out.append(word[start:i])
+                start = i
+        out.append(word[start:])
+        return out
 
     def lattice(self, word: str) -> dict[tuple[int, int], float]:
         """(start, end) to score for every substring of two characters or more that is a piece."""
@@ -113,19 +133,8 @@ class Pieces:
         return out
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, as little-endian unsigned 16-bit bytes."""
-        if not text:
-            return b""
-        kept = self.kept
-        parts = text.split(" ")
-        words = [MARK + p for p in parts] if MARK not in text and "" not in parts else _WORDS.findall(MARK + text.replace(" ", MARK))
-        for w in words:
-            if w not in kept:
-                if len(kept) >= KEPT:
-                    kept.clear()
-                    return self.encode(text) if len(words) < KEPT else np.array([i for x in words for i in self.word_ids(x)], "<u2").tobytes()
-                kept[w] = np.array(self.word_ids(w), "<u2").tobytes()
-        return b"".join([kept[w] for w in words])
+        """Ids of a whole text, as little-endian unsigned 16-bit bytes, by the heap fold: the plain version that tests hold the lattice to."""
+        return np.array([i for w in words_in(text) for i in self.word_ids(w)], "<u2").tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text of ids given as little-endian unsigned 16-bit bytes."""
@@ -139,36 +148,155 @@ def pieces(path: str | None = None) -> Pieces:
     return Pieces.read(path)
 
 
-def _encode(with_ids: bool):
+def words_in(text: str | None) -> list[str]:
+    """The words of a text: runs of marks and the characters up to the next mark, the first begun by a mark of its own."""
+    if not text:
+        return []
+    parts = text.split(" ")
+    return [MARK + p for p in parts] if MARK not in text and "" not in parts else _WORDS.findall(MARK + text.replace(" ", MARK))
+
+
+# -- documents in blocks ------------------------------------------------------
+_BLOCK = "block string, units array<string>, known binary, docs binary"
+
+
+class _Block:
+    """Distinct units and the documents' places among them. Units that need no lattice bear their ids."""
+
+    def __init__(self, table: Pieces) -> None:
+        self.table, self.words, self.place, self.known, self.docs, self.chars = table, {}, {}, {}, [], 0
+
+    def add(self, doc: int | None, text: str | None) -> None:
+        places: list[int] = []
+        for w in words_in(text):
+            own = self.words.get(w)
+            if own is None:
+                own = self.words[w] = [self.unit(u) for u in self.table.units(w)]
+            places += own
+        n = len(text or "")
+        same = zlib.crc32((text or "").replace(MARK, " ").encode("utf-8", "replace"))
+        self.docs.append((doc, n, same, zstandard.compress(np.array(places, "<u4").tobytes(), 1)))
+        self.chars += n + 1
+
+    def unit(self, u: str) -> int:
+        at = self.place.get(u)
+        if at is None:
+            at = self.place[u] = len(self.place)
+            if len(u) == 1 or len(u) > LONGEST:
+                self.known[at] = self.table.word_ids(u)
+        return at
+
+    def row(self) -> pa.RecordBatch:
+        units = [None if at in self.known else u for u, at in self.place.items()]
+        data = [pickle.dumps(x, protocol=5) for x in (self.known, self.docs)]
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([units], pa.list_(pa.string())), *(pa.array([d], pa.binary()) for d in data)], ["block", "units", "known", "docs"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = _Block(pieces())
+    for b in batches:
+        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            block.add(doc, text)
+            if block.chars >= BLOCK_CHARS or len(block.words) >= BLOCK_WORDS:
+                yield block.row()
+                block = _Block(block.table)
+    if block.docs:
+        yield block.row()
+
+
+def _assembled(with_ids: bool):
+    """Blocks (docs, known, at, ids) to documents: ids holds four hexadecimal digits per id of the unit at each place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces()
         schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_chars", pa.int64()), ("decoded_crc32", pa.int64()), ("round_trip", pa.bool_()), ("ids", pa.binary())])
         for b in batches:
-            rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                data = table.encode(text)
-                back = table.decode(data)
-                ids = np.frombuffer(data, "<u2").astype("<u4").tobytes()
-                rows.append((doc, len(data) // 2, zlib.crc32(ids), len(back), zlib.crc32(back.encode()), back == (text or "").replace(MARK, " "), ids if with_ids else None))
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+            for k in range(b.num_rows):
+                known, docs = (pickle.loads(b.column(c)[k].as_py()) for c in ("known", "docs"))
+                at = b.column("at")[k].values.to_numpy() if b.column("at")[k].is_valid else np.zeros(0, np.int64)
+                told = b.column("ids")[k].values.to_pylist() if len(at) else []
+                total = len(at) + len(known)
+                size = np.zeros(total, np.int64)
+                size[at] = [len(t) // 4 for t in told]
+                for p, own in known.items():
+                    size[p] = len(own)
+                start = np.concatenate([[0], np.cumsum(size)])
+                flat = np.zeros(start[-1], np.uint16)
+                if len(at):
+                    n = size[at]
+                    where = np.repeat(start[:-1][at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    flat[where] = np.frombuffer(bytes.fromhex("".join(told)), ">u2")
+                for p, own in known.items():
+                    flat[start[p] : start[p + 1]] = own
+                for first in range(0, len(docs), 500):
+                    rows = []
+                    for doc, n_chars, crc, places in docs[first : first + 500]:
+                        p = np.frombuffer(zstandard.decompress(places), "<u4").astype(np.int64)
+                        n = size[p]
+                        ids = flat[np.repeat(start[:-1][p] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                        back = table.decode(ids.astype("<u2").tobytes())
+                        wide, back_crc = ids.astype("<u4").tobytes(), zlib.crc32(back.encode())
+                        rows.append((doc, len(ids), zlib.crc32(wide), len(back), back_crc, (n_chars, crc) == (len(back), back_crc), wide if with_ids else None))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
 def encode_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_ids, ids_crc32, decoded_chars, decoded_crc32, round_trip, and ids (unsigned 32-bit, little-endian) if asked for."""
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(with_ids), "doc_id long, n_ids long, ids_crc32 long, decoded_chars long, decoded_crc32 long, round_trip boolean, ids binary")
+    spark = docs.sparkSession
+    blocks = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks, _BLOCK), by="block", compression="zstd")
+    places = blocks.select("block", F.posexplode("units").alias("at", "word")).where(F.col("word").isNotNull())
+    ids = encode_units(places, piece_table(spark), pieces().longest)
+    back = ids.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("ids").alias("ids"))
+    whole = blocks.select("block", "known", "docs").join(back, "block", "left")
+    out = whole.select("known", "docs", "at", "ids").mapInArrow(_assembled(with_ids), "doc_id long, n_ids long, ids_crc32 long, decoded_chars long, decoded_crc32 long, round_trip boolean, ids binary")
     return out if with_ids else out.drop("ids")
 
 
+def encode_units(places: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """places (block, at, word) with ids, four hexadecimal digits each: the lattice of every distinct word, folded once.
+
+    Places are gathered by word in the one exchange that words take; both branches below read it.
+    """
+    met = places.groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("places"))
+    words = met.where(F.size("places") > 0).select("word")
+    ranked = table.withColumn("value", F.col("rank").cast("long") * 65536 + F.col("id"))
+    n = F.length("word")
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
+    spans = starts.select("word", "a", F.explode(F.sequence(F.col("a") + 1, F.least(n, F.col("a") + longest))).alias("b"))
+    subs = spans.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("b") - F.col("a")))
+    edges = subs.join(F.broadcast(ranked.select("piece", "value")), "piece").select("word", (F.col("a") * 64 + F.col("b")).alias("k"), "value")
+    lattice = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("edges"))
+    folded = lattice.withColumn("cuts", merged_cuts(F.col("edges"), F.length("word")))
+    ends = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda a, k: F.lpad(F.hex(F.try_element_at("edges", a * 64 + F.get("cuts", k + 1)) % 65536), 4, "0"))
+    ids = folded.select("word", F.array_join(ends, "").alias("ids"))
+    return met.join(ids, "word").select(F.explode("places").alias("p"), "ids").select("p.block", "p.at", "ids")
+
+
+def merged_cuts(edges: Column, n: Column) -> Column:
+    """The cuts 0..n that are left when neighbours are joined, least value first, leftmost of equals. edges: 64 * a + b to value, less for a better score."""
+    none = F.lit(1 << 62)
+
+    def step(cuts: Column, _: Column) -> Column:
+        inner = F.when(F.size(cuts) > 2, F.sequence(F.lit(1), F.size(cuts) - 2))
+        best = F.array_min(F.transform(inner, lambda k: F.coalesce(F.try_element_at(edges, F.get(cuts, k - 1) * 64 + F.get(cuts, k + 1)) * 64 + k, none)))
+        return F.when(best.isNull() | (best == none), cuts).otherwise(F.concat(F.slice(cuts, F.lit(1), (best % 64).cast("int")), F.slice(cuts, (best % 64).cast("int") + 2, F.lit(64))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+
+
 # -- the same in DataFrame operations, for a table of words -----------------
 def piece_table(spark: SparkSession, table: Pieces | None = None) -> DataFrame:
-    """(piece, id, score) of the pieces that text can become. Its size is that of the model."""
+    """(piece, id, score, rank) of the pieces that text can become, rank by score, best first. Its size is that of the model."""
     table = table or pieces()
     if len(table.ids) > MOST_PIECES:
         raise ValueError(f"{len(table.ids)} pieces are too many to broadcast")
-    return spark.createDataFrame([(p, i, float(table.scores[p])) for p, i in table.ids.items()], "piece string, id int, score double")
+    rank, last = {}, None
+    for p in sorted(table.ids, key=lambda p: -table.scores[p]):
+        rank[p] = rank[last] if last is not None and table.scores[last] == table.scores[p] else len(rank)
+        last = p
+    return spark.createDataFrame([(p, i, float(table.scores[p]), rank[p]) for p, i in table.ids.items()], "piece string, id int, score double, rank int")
 
 
 def edges_of(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
