@@ -444,10 +444,17 @@ def _first_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _more_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, key, fp, n, pos, class, side) sorted by shard to pairs (a, b) of unlike class and, in a shard of two blocks, of unlike side."""
-    for key, fp, n, pos, kind, side in _groups(batches, "shard", ["key", "fp", "n", "pos", "class", "side"]):
-        for both in _crowd(key, fp.view(np.uint64), n, pos, kind, side):
-            yield _table(a=pa.array(both[:, 0], pa.int64()), b=pa.array(both[:, 1], pa.int64()))
+    """Rows (shard, t, key, fp, n, pos, class, side) sorted by shard and t to pairs (a, b), once each, of unlike class that share a t, and, in a shard of two blocks, of unlike side."""
+    for t, *columns in _groups(batches, "shard", ["t", "key", "fp", "n", "pos", "class", "side"]):
+        found = np.zeros((0, 2), np.int64)
+        starts = np.r_[0, np.flatnonzero(t[1:] != t[:-1]) + 1, len(t)]
+        for s, e in zip(starts, starts[1:]):
+            if e - s > 1:
+                key, fp, n, pos, kind, side = (c[s:e] for c in columns)
+                for both in _crowd(key, fp.view(np.uint64), n, pos, kind, side):
+                    found = np.unique(np.concatenate([found, both]), axis=0)
+        if len(found):
+            yield _table(a=pa.array(found[:, 0], pa.int64()), b=pa.array(found[:, 1], pa.int64()))
 
 
 def _in_parts(f, rows: int = 500):
@@ -478,14 +485,18 @@ def _confirm(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def _dealt(crowds: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of crowded shards that hold more than one class, dealt into shards of one block or of two, so that each pair of blocks meets once."""
+    """Members of crowded shards that hold more than one class, dealt into shards of one block or of two, so that each pair of blocks meets once.
+
+    Shingles whose smallest member is the same mostly have the same members (copies of one text): they share a
+    shard, so that a pair comes out of it once.
+    """
     left = crowds.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
-    mixed = left.groupBy("t").agg(F.min("class").alias("_c"), F.max("class").alias("_d")).where("_c < _d").select("t")
-    left = left.join(mixed, "t", "left_semi")
+    mixed = left.groupBy("t").agg(F.min("class").alias("_c"), F.max("class").alias("_d"), F.min("key").alias("least")).where("_c < _d").select("t", "least")
+    left = left.join(mixed, "t")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     side = F.pmod(F.xxhash64("key"), blocks).cast("int")
     spread = left.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return spread.select(F.xxhash64("t", F.least("side", "other"), F.greatest("side", "other")).alias("shard"), "key", "fp", "n", "pos", "class", "side")
+    return spread.select(F.xxhash64("least", blocks, F.least("side", "other"), F.greatest("side", "other")).alias("shard"), "t", "key", "fp", "n", "pos", "class", "side")
 
 
 def similar_texts(docs: DataFrame) -> DataFrame:
@@ -499,14 +510,24 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     members = cut(shared.join(distinct.select("key", "fp", "n"), "key"))
     shards = members.select("t", "key", "fp", "n", "pos").repartition("t").sortWithinPartitions("t")
     pairs = cut(shards.mapInArrow(_first_candidates, "a long, b long").distinct())
-    near, crowds = _confirm(docs, distinct, pairs), members.where(F.col("m") > CROWD)
+    classes, crowds = components(_confirm(docs, distinct, pairs)), members.where(F.col("m") > CROWD)
     if not crowds.isEmpty():
-        classes = components(near).select(F.col("node").alias("key"), F.col("root").alias("class"))
-        dealt = _dealt(crowds, classes).repartition("shard").sortWithinPartitions("shard")
-        more = dealt.mapInArrow(_more_candidates, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        near = near.unionByName(_confirm(docs, distinct, cut(more)))
+        classes = cut(classes)
+        of = classes.select(F.col("node").alias("key"), F.col("root").alias("class"))
+        shards = _dealt(crowds, of).repartition("shard").sortWithinPartitions("shard", "t")
+        more = shards.mapInArrow(_more_candidates, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        classes = _merged(classes, _confirm(docs, distinct, cut(more)))
     firsts = distinct.select(F.col("key").alias("fp"), "first_id")
-    return _named(rows.select("doc_id", F.col("key").alias("fp")), firsts, components(near))
+    return _named(rows.select("doc_id", F.col("key").alias("fp")), firsts, classes)
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (node, root) with those joined that links (a, b) between their nodes connect; only links between classes are contracted."""
+    at = lambda side: classes.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
+    tops = components(ends).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    below = classes.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return below.unionByName(tops.select(F.col("root").alias("node"), F.col("top").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
