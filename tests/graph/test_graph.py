@@ -12,7 +12,9 @@ from tracewright.plans import benchmark, evaluate
 from tracewright.plans.index import Graph, build_index, load_or_index, reindex
 from tracewright.sources import store, trees
 from tracewright.streaming.watch import merged
-from tracewright.tools import ToolError, Tools
+from tracewright.sources.c_facts import extract
+from tracewright.sources.c_outline import outline
+from tracewright.tools import ToolError, Tools, serve
 
 
 @pytest.fixture(scope="session")
@@ -225,3 +227,44 @@ def test_tools(spark, graphs):
     with pytest.raises(ToolError):
         broken.who_calls("x")
     assert set(TREES) >= {"calls"}
+
+
+def test_server(spark, graphs):
+    import io
+    import json
+
+    root = graphs("chain").root
+    ask = lambda i, tool, **given: json.dumps({"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": tool, "arguments": given}})
+    lines = [json.dumps({"jsonrpc": "2.0", "id": 1, "method": "initialize"}), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), json.dumps({"jsonrpc": "2.0", "id": 2, "method": "tools/list"})]
+    lines += [ask(3, "find_definition", name="mid", directory=root), ask(4, "who_calls", name="mid", directory=root), ask(5, "who_calls", name="mid"), ask(6, "none", name="x", directory=root), "{", ask(7, "who_calls", name="x", directory="bad-scheme://x"), "[]"]
+    out = io.StringIO()
+    serve(spark, io.StringIO("\n".join(lines) + "\n"), out)
+    told = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [t.get("id") for t in told] == [1, 2, 3, 4, 5, 6, None, 7, None]
+    assert [t["name"] for t in told[1]["result"]["tools"]] == ["find_definition", "who_calls", "blast_radius"]
+    assert [m["line"] for m in told[2]["result"]["structuredContent"]["matches"]] == [2] and [m["line"] for m in told[3]["result"]["structuredContent"]["matches"]] == [3]
+    assert [t["error"]["code"] for t in told if "error" in t] == [-32602, -32602, -32700, -32600] and told[7]["result"]["isError"]
+
+
+def test_outline():
+    got = list(outline("#include <a.h>\nint é(int a) { return a; }\nint b[2] = {1};\n".encode()))
+    assert got[0] == "source [0-59] (L1:1-L4:1)" and got[1] == "  directive [0-14] (L1:1-L1:15)"
+    assert [x.strip().split()[0] for x in got if x.startswith("  ") and not x.startswith("    ")] == ["directive", "definition", "declaration"]
+    assert "    block [29-42] (L2:15-L2:28)" in got and any("statement" in x for x in got)
+
+
+def test_deep_chain(spark):
+    calls = spark.createDataFrame([(i + 1, i, 1) for i in range(30)] + [(0, 30, 1), (5, 5, 1)], "src long, dst long, call_line int")
+    found = navigate.transitive_callers(calls, spark.createDataFrame([(0,)], "node_id long"))
+    assert {(r.node_id, r.depth) for r in found.collect()} == {(i, i) for i in range(1, 31)}
+    assert navigate.transitive_callers(calls, spark.createDataFrame([(0,)], "node_id long"), 3).count() == 3
+
+
+@pytest.mark.parametrize("source", ["int f(void) { return 1 }", "int x = ;", "@@ $%", "int y", "int f(void) { if (a) { b() } }", "int a[] = {1, 2", "int f(void) { int x = ; }"])
+def test_syntax_errors(source):
+    assert extract(source) is None
+
+
+@pytest.mark.parametrize("source", ["", ";", "int f(void){ int a[]={1,2}; struct p q=(struct p){1,2}; if(a){b();}else{c();} do{d();}while(0); L: return 1; }", "enum E {A, B}; struct S { int a; } s = { 1 };", "int f(a) int a; { return a; }", "void f(void) { switch (x) { case 1: { g(); } break; default: ; } }", 'extern "C" { int f(void); }'])
+def test_sound_sources(source):
+    assert extract(source) is not None

@@ -24,8 +24,9 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("name")
         s.add_argument("--dir", required=True)
         s.add_argument("--depth", action="store_true", help="show hop counts") if name == "blast-radius" else None
-    s = sub.add_parser("parse", help="the tokens of a source")
+    s = sub.add_parser("parse", help="the nested outline of a source")
     s.add_argument("file")
+    sub.add_parser("serve", help="answer tool calls, one JSON message a line")
     s = sub.add_parser("index", help="index a tree and store the index beside it")
     s.add_argument("path")
     s = sub.add_parser("bench", help="time indexing and queries")
@@ -43,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
 def session(master: str):
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.builder.master(master).appName("tracewright").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    spark = SparkSession.builder.master(master).appName("tracewright").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -52,14 +53,19 @@ def run(args: argparse.Namespace, spark=None) -> int:
     from .plans import benchmark, evaluate
     from .plans.index import build_index, load_or_index
     from .sources import store
-    from .sources.c_facts import dump_tokens
+    from .sources.c_outline import outline
 
     if args.command == "parse":
-        with open(args.file, encoding="utf-8", errors="replace") as f:
-            for kind, text, line in dump_tokens(f.read()):
-                print(f"{kind} {text} L{line}")
+        with open(args.file, "rb") as f:
+            for line in outline(f.read()):
+                print(line)
         return 0
     spark = spark or session(args.master)
+    if args.command == "serve":
+        from .tools import serve
+
+        serve(spark, sys.stdin, sys.stdout)
+        return 0
     if args.command == "index":
         graph = build_index(spark, args.path)
         path = f"{args.path.rstrip('/')}/{store.DEFAULT_NAME}"

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import json
-import os
 import resource
-import tempfile
 import time
+import uuid
 from statistics import median
 
 from pyspark.sql import SparkSession
 
 from ..functions.scalars import human_bytes
+from ..functions.storage import cut, shared_dir
 from ..model import FUNCTION
 from ..operators import measure
 from ..sources import store, trees
-from .index import Graph, build_index
+from .index import Graph, build_index, graph_of
 
 QUERIES = ("find_definition", "who_calls", "blast_radius")
 
@@ -45,34 +45,54 @@ def interpolated(values: list[float], p: float) -> float:
     return values[low] + (values[high] - values[low]) * (at - low)
 
 
+def peak_kib(spark: SparkSession) -> int:
+    """Peak resident memory of the engine on this machine: the driver's JVM, and this process with its Python workers."""
+    try:
+        jvm = int(spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid())
+        with open(f"/proc/{jvm}/status", encoding="ascii") as f:
+            own = next(int(line.split()[1]) for line in f if line.startswith("VmHWM"))
+    except (OSError, StopIteration, ValueError):
+        own = 0
+    return own + resource.getrusage(resource.RUSAGE_SELF).ru_maxrss + resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
+
+
+def _scaled(spark: SparkSession, root: str, n: int, force) -> float:
+    """Seconds of a whole index in n partitions, n tasks at once at most; the session's setting is put back."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        return _timed(lambda: force(graph_of(cut(trees.parse(trees.paths_table(spark, root).coalesce(n))))))
+    finally:
+        spark.conf.set(key, before)
+
+
 def benchmark(spark: SparkSession, root: str, runs: int = 5, sample: int = 50, repeats: int = 5) -> dict:
-    """A report: input size, median wall time, rates, latency of three queries over an even sample of function names, cold against warm, scaling."""
+    """A report: input size, median wall time, rates, latency of three queries over an even sample of function names, cold against warm, scaling of the whole index."""
     size = measure_size(spark, root)
     force = lambda g: [df.count() for df in g.relations.values()]
     walls = [_timed(lambda: force(build_index(spark, root))) for _ in range(max(1, runs))]
     wall = median(walls)
-    with tempfile.TemporaryDirectory() as folder:
-        path = f"{folder}/index"
-        build_index(spark, root).save(path)
-        warm_s = _timed(lambda: store.load(spark, path))
-        graph = Graph(*store.load(spark, path))
-        on_disk = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
-        names = [r.name for r in measure.even_sample(graph.nodes.where(f"kind = '{FUNCTION}'"), sample).collect()]
-        latency = {}
-        for q in QUERIES:
-            best = [min(_timed(lambda n=n: getattr(graph, q)(n).collect()) for _ in range(max(1, repeats))) for n in names]
-            latency[q] = {"n": len(best), **{k: interpolated(best, p) for k, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}, "max": max(best, default=0.0)}
+    path = f"{shared_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
+    build_index(spark, root).save(path)
+    warm_s = _timed(lambda: store.load(spark, path))
+    graph = Graph(*store.load(spark, path), stored=True)
+    names = [r.name for r in measure.even_sample(graph.nodes.where(f"kind = '{FUNCTION}'"), sample).collect()]
+    latency = {}
+    for q in QUERIES:
+        best = [min(_timed(lambda n=n: getattr(graph, q)(n).collect()) for _ in range(max(1, repeats))) for n in names]
+        latency[q] = {"n": len(best), **{k: interpolated(best, p) for k, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}, "max": max(best, default=0.0)}
+    on_disk = store.stored_bytes(spark, path)
+    store.remove(spark, path)
     rate = lambda n: n / wall if wall else 0.0
     scaling = []
     for n in thread_counts(spark.sparkContext.defaultParallelism):
-        spark.conf.set("spark.sql.shuffle.partitions", str(n))
-        paths = trees.paths_table(spark, root).coalesce(n)
-        t = _timed(lambda p=paths: trees.parse(p).count())
+        t = _scaled(spark, root, n, force)
         scaling.append({"tasks": n, "seconds": t, "speed_up": scaling[0]["seconds"] / t if scaling and t else 1.0})
     return {
         "root": root,
         "input": size,
-        "index": {"seconds": wall, "runs": walls, "files_per_s": rate(size["files"]), "lines_per_s": rate(size["lines"]), "peak_rss_kib": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss},
+        "index": {"seconds": wall, "runs": walls, "files_per_s": rate(size["files"]), "lines_per_s": rate(size["lines"]), "peak_rss_kib": peak_kib(spark)},
         "latency": latency,
         "scaling": scaling,
         "persistence": {"cold_s": wall, "warm_s": warm_s, "speed_up": wall / warm_s if warm_s else 0.0, "bytes": on_disk},
@@ -80,7 +100,8 @@ def benchmark(spark: SparkSession, root: str, runs: int = 5, sample: int = 50, r
 
 
 def measure_size(spark: SparkSession, root: str) -> dict:
-    return trees.input_size(trees.parse(trees.paths_table(spark, root))).first().asDict()
+    """files, bytes and lines, read but not parsed."""
+    return trees.input_size(trees.sizes(trees.paths_table(spark, root))).first().asDict()
 
 
 def as_json(report: dict) -> str:

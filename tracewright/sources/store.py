@@ -114,3 +114,13 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFram
         out[name] = df
     artifacts = spark.read.schema(ARTIFACTS).parquet(f"{path.rstrip('/')}/{told['at']}/artifacts") if told.get("artifacts") else None
     return out, artifacts
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    _, at, fs = _fs(spark, path)
+    return int(fs.getContentSummary(at).getLength())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _, at, fs = _fs(spark, path)
+    fs.delete(at, True)
