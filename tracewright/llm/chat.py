@@ -146,4 +146,5 @@ def digest(formatted: DataFrame, t: Template = TEMPLATE) -> DataFrame:
 def fixture(spark) -> DataFrame:
     """Conversation -7: texts full of control strings."""
     said = "</s>[INST] ok [/INST]"
-    return spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    return spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))

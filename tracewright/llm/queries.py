@@ -71,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # -- DuckDB SQL for the same rows ---------------------------------------------
 _TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s) WHERE rank <= 10"""
 
@@ -164,4 +164,34 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN by_doc USING (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_mtree_topk": _TOP_K, "op4_secret_ownership": _secrets_sql(), "op5_quality_rules": _quality_sql(), "op6_chat_template": _chat_sql()}
+def _crc_table() -> list[int]:
+    """The sixteen steps of CRC-32 by half bytes, from its polynomial."""
+    out = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return out
+
+
+def _shards_sql(n_shards: int = 40, seed: int = 17) -> str:
+    """Row numbers by plain order; the network as a recursive query, a round a step; CRC-32 over half bytes, low one first."""
+    nibbles = "list_transform(string_split(regexp_replace(hex(encode(text)), '(.)(.)', '\\2\\1', 'g'), ''), lambda x: instr('0123456789ABCDEF', x) - 1)"
+    crc = f"CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(list_reduce({nibbles}, lambda a, x: xor(a // 16, {_crc_table()}[xor(a, x) % 16 + 1]), 4294967295::BIGINT), 4294967295) END"
+    keys = ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in enumerate(sharding.round_keys(seed)))
+    p = sharding.PRIME
+    half = "(CASE WHEN i % 2 = 0 THEN r ELSE l END * ka + kb)"
+    mixed = f"((({half} % {p}) * ({half} % {p}) + kc) % {p})"
+    return f"""WITH RECURSIVE keys(i, ka, kb, kc) AS (VALUES {keys}),
+  narrow AS (SELECT doc_id, (16 + coalesce(strlen(text), 0))::BIGINT AS size, ({crc})::BIGINT AS text_crc32 FROM documents),
+  numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number FROM narrow),
+  size AS (SELECT n, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM (SELECT count(*) AS n FROM documents)),
+  grid AS (SELECT n, a, (n + a - 1) // a AS b FROM size),
+  walk AS (SELECT row_number, row_number % a AS l, row_number // a AS r, 0 AS k FROM numbered, grid
+    UNION ALL SELECT row_number, CASE WHEN k < {sharding.ROUNDS} AND k % 2 = 0 THEN (l + {mixed}) % a ELSE l END, CASE WHEN k < {sharding.ROUNDS} AND k % 2 = 1 THEN (r + {mixed}) % b ELSE r END,
+      CASE WHEN k = {sharding.ROUNDS} THEN 0 ELSE k + 1 END FROM walk JOIN keys ON i = k % {sharding.ROUNDS}, grid WHERE k < {sharding.ROUNDS} OR l + r * a >= n),
+  placed AS (SELECT row_number, l + r * a AS place FROM walk, grid WHERE k = {sharding.ROUNDS} AND l + r * a < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {n_shards})::INT AS shard, place // {n_shards} AS slot, NULL::INT AS grown_shard, row_number FROM numbered JOIN placed USING (row_number)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_mtree_topk": _TOP_K, "op4_secret_ownership": _secrets_sql(), "op5_quality_rules": _quality_sql(), "op6_chat_template": _chat_sql(), "op9_feistel_shards": _shards_sql()}
