@@ -61,14 +61,16 @@ def _floats(v: np.ndarray) -> np.ndarray:
     return np.clip(v, -LARGEST, LARGEST)
 
 
-def _dots(vectors: np.ndarray, query: np.ndarray) -> list[int]:
-    """Exact inner products of integer-valued rows: by floats where no sum can leave 53 bits, else by Python integers."""
+def _dots(vectors: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products of integer-valued rows of components within most: by floats where no sum can leave 53 bits, else by Python integers."""
     if not vectors.size or not query.size:
-        return [0] * len(vectors)
-    if vectors.dtype != object and query.dtype != object and float(np.abs(vectors).max()) * float(np.abs(query).max()) * len(query) < 2.0**53:
-        return (vectors @ query).astype(np.int64).tolist()
+        return np.zeros(len(vectors), np.int64)
+    if vectors.dtype != object and query.dtype != object and most * float(np.abs(query).max()) * len(query) < 2.0**53:
+        return (vectors @ query).astype(np.int64)
     own = [int(c) for c in query.tolist()]
-    return [sum(int(a) * b for a, b in zip(row, own)) for row in vectors.tolist()]
+    out = np.empty(len(vectors), dtype=object)
+    out[:] = [sum(int(a) * b for a, b in zip(row, own)) for row in vectors.tolist()]
+    return out
 
 
 class MTree:
@@ -86,6 +88,7 @@ class MTree:
         self.ids = np.split(ids, first[1:])
         self.width = vectors.shape[1]
         huge = (np.abs(self.vectors) >= LARGEST).any(axis=1).astype(bool) if self.vectors.size else np.zeros(len(first), bool)
+        self.largest = float(np.abs(self.vectors).max(initial=0.0)) if self.vectors.dtype != object else np.inf
         #: Entries that no distance is computed for.
         self.far = np.flatnonzero(huge)
         near = np.flatnonzero(~huge)
@@ -135,9 +138,12 @@ class MTree:
         heap: list[tuple[int, int]] = []  # of (score, -id), the worst first
 
         def take(at: np.ndarray) -> None:
-            scores = _dots(self.vectors[at], own)
-            for i in sorted(range(len(at)), key=lambda i: -scores[i]):
-                s = scores[i]
+            scores = _dots(self.vectors[at], own, self.largest)
+            if len(heap) == k:
+                some = np.flatnonzero(scores >= heap[0][0])
+                at, scores = at[some], scores[some]
+            for i in np.argsort(-scores, kind="stable").tolist():
+                s = int(scores[i])
                 if len(heap) == k and s < heap[0][0]:
                     break
                 for v in self.ids[at[i]].tolist():
