@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a relational lattice of pieces.
 
-The pieces of the model are a table (piece, id, rank). A text, its spaces marks, is cut into units wherever no
-piece holds the two characters at the cut side by side, so that no piece reaches over a unit's end. Units of one
+The pieces of the model are a table (piece, id, rank). Characters that stand side by side in a piece are of one class; a
+text, its spaces marks, is cut into units of one class, so that no piece reaches over a unit's end. Units of one
 character, and those too long for a lattice (LONGEST characters), are known from the model; the others are encoded
 in DataFrame operations, each distinct unit of the corpus once: substrings of bounded length are exploded, met with the piece
 table in a broadcast equi-join (its size is the model's, and is checked), grouped by unit into the edges of its lattice, and
@@ -42,8 +42,30 @@ from .common import cut
 
 MODEL, MARK = "piece_bpe_32k.model", "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: The most pieces that may be broadcast; the longest unit that takes a lattice; characters and distinct words of a block.
-MOST_PIECES, LONGEST, BLOCK_CHARS, BLOCK_WORDS = 1_000_000, 48, 16_000_000, 400_000
+#: The most pieces that may be broadcast; the longest unit that takes a lattice; characters and distinct units of a block.
+MOST_PIECES, LONGEST, BLOCK_CHARS, BLOCK_UNITS = 1_000_000, 48, 32_000_000, 400_000
+
+
+def _unit_pattern(plain: dict[str, int]) -> re.Pattern:
+    """Characters that stand side by side in a piece are of one class, marks aside; a unit is a run of one class."""
+    root: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
+
+    for p in plain:
+        for a, b in zip(p, p[1:]):
+            if a != MARK:
+                root[find(b)] = find(a)
+            elif b != MARK:
+                find(b)
+    classes: dict[str, list[str]] = {}
+    for c in root:
+        classes.setdefault(find(c), []).append(c)
+    runs = [f"{MARK}*[{''.join(map(re.escape, sorted(cs)))}]+" for cs in sorted(classes.values(), key=len, reverse=True)]
+    return re.compile("|".join([*runs, f"{MARK}+", "."]), re.S)
 
 
 @dataclass
@@ -55,8 +77,8 @@ class Pieces:
     bytes_of: list[bytes]
     byte_ids: list[int]
     longest: int
-    #: Neighbours that some piece holds.
-    pairs: set[str] = field(default_factory=set)
+    #: Finds units: runs of characters that pieces join, with the marks before them; runs of marks; other characters.
+    pattern: re.Pattern | None = None
 
     @classmethod
     def read(cls, path: str | None = None) -> Pieces:
@@ -74,18 +96,11 @@ class Pieces:
                 text[i] = b""
         if any(c not in plain for p in plain for c in p):
             raise ValueError("a character of a piece is no piece")
-        pairs = {p[i : i + 2] for p in plain for i in range(len(p) - 1)}
-        return cls(plain, {p: m.get_score(i) for p, i in plain.items()}, text, byte_ids, max(map(len, plain)), pairs)
-
-    def units(self, word: str) -> list[str]:
-        """word cut wherever no piece holds both neighbours."""
-        out, start, pairs = [], 0, self.pairs
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                out.append(word[start:i])
-                start = i
-        out.append(word[start:])
-        return out
+        return cls(plain, {p: m.get_score(i) for p, i in plain.items()}, text, byte_ids, max(map(len, plain)), _unit_pattern(plain))
+
+    def units_in(self, text: str | None) -> list[str]:
+        """The units of a text in order; no piece reaches over the end of one."""
+        return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def lattice(self, word: str) -> dict[tuple[int, int], float]:
         """(start, end) to score for every substring of two characters or more that is a piece."""
@@ -164,28 +179,19 @@ class _Block:
     """Distinct units and the documents' places among them. Units that need no lattice bear their ids."""
 
     def __init__(self, table: Pieces) -> None:
-        self.table, self.words, self.place, self.known, self.docs, self.chars = table, {}, {}, {}, [], 0
+        self.table, self.place, self.known, self.docs, self.chars = table, {}, {}, [], 0
 
     def add(self, doc: int | None, text: str | None) -> None:
-        places: list[int] = []
-        for w in words_in(text):
-            own = self.words.get(w)
-            if own is None:
-                own = self.words[w] = [self.unit(u) for u in self.table.units(w)]
-            places += own
+        units, place = self.table.units_in(text), self.place
+        for u in set(units).difference(place):
+            place[u] = len(place)
+            if len(u) == 1 or len(u) > LONGEST:
+                self.known[place[u]] = self.table.word_ids(u)
         n = len(text or "")
         same = zlib.crc32((text or "").replace(MARK, " ").encode("utf-8", "replace"))
-        self.docs.append((doc, n, same, zstandard.compress(np.array(places, "<u4").tobytes(), 1)))
+        self.docs.append((doc, n, same, zstandard.compress(np.fromiter(map(place.__getitem__, units), "<u4", len(units)).tobytes(), 1)))
         self.chars += n + 1
 
-    def unit(self, u: str) -> int:
-        at = self.place.get(u)
-        if at is None:
-            at = self.place[u] = len(self.place)
-            if len(u) == 1 or len(u) > LONGEST:
-                self.known[at] = self.table.word_ids(u)
-        return at
-
     def row(self) -> pa.RecordBatch:
         units = [None if at in self.known else u for u, at in self.place.items()]
         data = [pickle.dumps(x, protocol=5) for x in (self.known, self.docs)]
@@ -197,7 +203,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             block.add(doc, text)
-            if block.chars >= BLOCK_CHARS or len(block.words) >= BLOCK_WORDS:
+            if block.chars >= BLOCK_CHARS or len(block.place) >= BLOCK_UNITS:
                 yield block.row()
                 block = _Block(block.table)
     if block.docs:
@@ -281,7 +287,8 @@ def merged_cuts(edges: Column, n: Column) -> Column:
     def step(cuts: Column, _: Column) -> Column:
         inner = F.when(F.size(cuts) > 2, F.sequence(F.lit(1), F.size(cuts) - 2))
         best = F.array_min(F.transform(inner, lambda k: F.coalesce(F.try_element_at(edges, F.get(cuts, k - 1) * 64 + F.get(cuts, k + 1)) * 64 + k, none)))
-        return F.when(best.isNull() | (best == none), cuts).otherwise(F.concat(F.slice(cuts, F.lit(1), (best % 64).cast("int")), F.slice(cuts, (best % 64).cast("int") + 2, F.lit(64))))
+        without = lambda v: F.when(v < none, F.concat(F.slice(cuts, F.lit(1), (v % 64).cast("int")), F.slice(cuts, (v % 64).cast("int") + 2, F.lit(64)))).otherwise(cuts)
+        return F.coalesce(F.get(F.transform(F.array(best), without), F.lit(0)), cuts)  # an array of one, so that the best is found once
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
 
