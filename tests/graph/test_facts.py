@@ -1,9 +1,12 @@
 """The C recogniser alone."""
 
+import tracemalloc
+
 import pytest
 
 from tracewright.functions.scalars import content_hash, human_bytes, include_target, unsigned
-from tracewright.sources.c_facts import dump_tokens, extract
+from tracewright.sources import trees
+from tracewright.sources.c_facts import Facts, dump_tokens, extract
 from tracewright.sources.truth import parse_line
 
 CASES = [
@@ -56,3 +59,37 @@ def test_truth_lines():
     for bad in ("nope f", "who-calls", "who-calls f a.c", "who-calls f a.c:x", "who-calls f :3"):
         with pytest.raises(ValueError, match="t:9"):
             parse_line(bad, "t:9")
+
+
+@pytest.mark.parametrize("source", [c[0] for c in CASES] + ["int old(a) int a; { return g(a); }\nstruct S { int v; } s; int f(void) { return g(); }", "int f(void) {}\n}", "int f(void) { g() }\nint y"])
+def test_pieces_change_nothing(source):
+    whole, parts = extract(source), Facts()
+
+    def take(facts):
+        for name, rows in vars(facts).items():
+            getattr(parts, name).extend(rows)
+            rows.clear()
+
+    done = extract(source, take, size=1)
+    assert (None if done is None else parts) == whole == extract(source, size=1)
+
+
+def test_a_large_source_takes_little_memory():
+    """Its functions are read one after the other, and its facts lie in Arrow columns."""
+    data = b"".join(b"int f%d(int *p) {\n%s}\n" % (k, b"  g(1);\n" * 30) for k in range(2_000))
+    rows = trees._Artifacts()
+    rows.add("/b.c", "b.c", b"int f(void) { g(); }")
+    rows.batch()  # what is loaded at first use
+    tracemalloc.start()
+    rows = trees._Artifacts()
+    rows.add("/a.c", "a.c", data)
+    batch = rows.batch()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(batch.column("calls")[0]) == 60_000 and len(batch.column("definitions")[0]) == 2_000
+    assert batch.column("calls")[0][59_999].as_py() == {"caller": "f1999", "callee": "g", "line": 63_999}
+    assert peak < 10e6
+
+
+def test_foreign_space_is_a_syntax_error():
+    assert extract("int f(void) {　return 1; }") is None
