@@ -58,3 +58,19 @@ def test_viterbi(spark):
     for w in words:
         assert "".join(got[w]) == w
         assert math.isclose(sum(scores.get(p, -100.0) for p in got[w]), best(w))
+
+
+def test_places_are_packed_and_numbered(spark, monkeypatch):
+    """Blocks have numbers of their own over all tasks; what leaves for the lattice is one number a unit."""
+    for n in (0, 1, 1000):
+        places = np.arange(n, dtype="<u4") * 70_000
+        assert spm._unpacked(spm._packed(places)).tolist() == places.tolist()
+    assert len(spm._packed(np.arange(5000, dtype="<u4") * 37 % 5000)) < 5000 * 2
+    monkeypatch.setattr(spm, "cut", lambda df, **_: df)
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    rows = docs.mapInArrow(spm._blocks, spm._BLOCK).collect()
+    assert len({r.block for r in rows}) == len(rows) == 4 and dict(docs.mapInArrow(spm._blocks, spm._BLOCK).dtypes)["block"] == "bigint"
+    words = spark.createDataFrame([(5 << spm.PLACE_BITS, "▁the"), (7, "▁the"), (9, "qz")], "place long, word string")
+    got = {r.place: r.ids for r in spm.encode_units(words, spm.piece_table(spark), spm.pieces().longest).collect()}
+    told = {p: [int.from_bytes(x[i : i + 2], "big") for i in range(0, len(x), 2)] for p, x in got.items()}
+    assert told == {p: spm.pieces().word_ids(w) for p, w in ((5 << spm.PLACE_BITS, "▁the"), (7, "▁the"), (9, "qz"))}

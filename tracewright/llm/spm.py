@@ -24,7 +24,6 @@ from __future__ import annotations
 import heapq
 import pickle
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,8 +32,10 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ MODEL, MARK = "piece_bpe_32k.model", "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: The most pieces that may be broadcast; the longest unit that takes a lattice; characters and distinct units of a block.
 MOST_PIECES, LONGEST, BLOCK_CHARS, BLOCK_UNITS = 1_000_000, 48, 32_000_000, 400_000
+#: A place is one number: the task, the block in it (BLOCK_BITS) and the unit in that (PLACE_BITS). Documents packed together.
+BLOCK_BITS, PLACE_BITS, TOGETHER = 12, 28, 500
 
 
 def _unit_pattern(plain: dict[str, int]) -> re.Pattern:
@@ -172,14 +175,14 @@ def words_in(text: str | None) -> list[str]:
 
 
 # -- documents in blocks ------------------------------------------------------
-_BLOCK = "block string, units array<string>, known binary, docs binary"
+_BLOCK = "block long, units array<string>, known binary, docs binary"
 
 
 class _Block:
     """Distinct units and the documents' places among them. Units that need no lattice bear their ids."""
 
-    def __init__(self, table: Pieces) -> None:
-        self.table, self.place, self.known, self.docs, self.chars = table, {}, {}, [], 0
+    def __init__(self, table: Pieces, number: int) -> None:
+        self.table, self.number, self.place, self.known, self.docs, self.chars = table, number, {}, {}, [], 0
 
     def add(self, doc: int | None, text: str | None) -> None:
         units, place = self.table.units_in(text), self.place
@@ -189,29 +192,43 @@ class _Block:
                 self.known[place[u]] = self.table.word_ids(u)
         n = len(text or "")
         same = zlib.crc32((text or "").replace(MARK, " ").encode("utf-8", "replace"))
-        self.docs.append((doc, n, same, zstandard.compress(np.fromiter(map(place.__getitem__, units), "<u4", len(units)).tobytes(), 1)))
+        self.docs.append((doc, n, same, np.fromiter(map(place.__getitem__, units), "<u4", len(units))))
         self.chars += n + 1
 
     def row(self) -> pa.RecordBatch:
         units = [None if at in self.known else u for u, at in self.place.items()]
-        data = [pickle.dumps(x, protocol=5) for x in (self.known, self.docs)]
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([units], pa.list_(pa.string())), *(pa.array([d], pa.binary()) for d in data)], ["block", "units", "known", "docs"])
+        docs = [self.docs[k : k + TOGETHER] for k in range(0, len(self.docs), TOGETHER)]
+        docs = [([(doc, n, same, len(p)) for doc, n, same, p in some], _packed(np.concatenate([p for *_, p in some]))) for some in docs]
+        data = [pickle.dumps(x, protocol=5) for x in (self.known, docs)]
+        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([units], pa.list_(pa.string())), *(pa.array([d], pa.binary()) for d in data)], ["block", "units", "known", "docs"])
+
+
+def _packed(places: np.ndarray) -> bytes:
+    """Places as four planes of bytes, as the high ones are mostly zero."""
+    return zstandard.compress(places.view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = _Block(pieces())
+    task = TaskContext.get().partitionId() << BLOCK_BITS
+    block = _Block(pieces(), task)
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             block.add(doc, text)
             if block.chars >= BLOCK_CHARS or len(block.place) >= BLOCK_UNITS:
                 yield block.row()
-                block = _Block(block.table)
+                if (block.number + 1) >> BLOCK_BITS != task >> BLOCK_BITS:
+                    raise ValueError("a task has too many blocks")
+                block = _Block(block.table, block.number + 1)
     if block.docs:
         yield block.row()
 
 
 def _assembled(with_ids: bool):
-    """Blocks (docs, known, at, ids) to documents: ids holds four hexadecimal digits per id of the unit at each place."""
+    """Blocks (docs, known, at, ids) to documents: ids holds two bytes, the high one first, per id of the unit at each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces()
@@ -220,10 +237,10 @@ def _assembled(with_ids: bool):
             for k in range(b.num_rows):
                 known, docs = (pickle.loads(b.column(c)[k].as_py()) for c in ("known", "docs"))
                 at = b.column("at")[k].values.to_numpy() if b.column("at")[k].is_valid else np.zeros(0, np.int64)
-                told = b.column("ids")[k].values.to_pylist() if len(at) else []
+                told = b.column("ids")[k].values if len(at) else pa.array([], pa.binary())
                 total = len(at) + len(known)
                 size = np.zeros(total, np.int64)
-                size[at] = [len(t) // 4 for t in told]
+                size[at] = pc.binary_length(told).to_numpy() // 2
                 for p, own in known.items():
                     size[p] = len(own)
                 start = np.concatenate([[0], np.cumsum(size)])
@@ -231,13 +248,14 @@ def _assembled(with_ids: bool):
                 if len(at):
                     n = size[at]
                     where = np.repeat(start[:-1][at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    flat[where] = np.frombuffer(bytes.fromhex("".join(told)), ">u2")
+                    flat[where] = np.frombuffer(b"".join(told.to_pylist()), ">u2")
                 for p, own in known.items():
                     flat[start[p] : start[p + 1]] = own
-                for first in range(0, len(docs), 500):
-                    rows = []
-                    for doc, n_chars, crc, places in docs[first : first + 500]:
-                        p = np.frombuffer(zstandard.decompress(places), "<u4").astype(np.int64)
+                for some, packed in docs:
+                    rows, places = [], _unpacked(packed)
+                    ends = np.cumsum([0, *(d[3] for d in some)])
+                    for (doc, n_chars, crc, _), first, end in zip(some, ends, ends[1:]):
+                        p = places[first:end]
                         n = size[p]
                         ids = flat[np.repeat(start[:-1][p] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                         back = table.decode(ids.astype("<u2").tobytes())
@@ -253,7 +271,9 @@ def encode_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     spark = docs.sparkSession
     blocks = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks, _BLOCK), by="block", compression="zstd")
     places = blocks.select("block", F.posexplode("units").alias("at", "word")).where(F.col("word").isNotNull())
+    places = places.select(F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("at")).alias("place"), "word")
     ids = encode_units(places, piece_table(spark), pieces().longest)
+    ids = ids.select(F.shiftright("place", PLACE_BITS).alias("block"), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("at"), "ids")
     back = ids.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("ids").alias("ids"))
     whole = blocks.select("block", "known", "docs").join(back, "block", "left")
     out = whole.select("known", "docs", "at", "ids").mapInArrow(_assembled(with_ids), "doc_id long, n_ids long, ids_crc32 long, decoded_chars long, decoded_crc32 long, round_trip boolean, ids binary")
@@ -261,11 +281,11 @@ def encode_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def encode_units(places: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """places (block, at, word) with ids, four hexadecimal digits each: the lattice of every distinct word, folded once.
+    """places (place, word) with ids, two bytes each: the lattice of every distinct word, folded once.
 
     Places are gathered by word in the one exchange that words take; both branches below read it.
     """
-    met = places.groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("places"))
+    met = places.groupBy("word").agg(F.collect_list("place").alias("places"))
     words = met.where(F.size("places") > 0).select("word")
     ranked = table.withColumn("value", F.col("rank").cast("long") * 65536 + F.col("id"))
     n = F.length("word")
@@ -276,8 +296,8 @@ def encode_units(places: DataFrame, table: DataFrame, longest: int) -> DataFrame
     lattice = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("edges"))
     folded = lattice.withColumn("cuts", merged_cuts(F.col("edges"), F.length("word")))
     ends = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda a, k: F.lpad(F.hex(F.try_element_at("edges", a * 64 + F.get("cuts", k + 1)) % 65536), 4, "0"))
-    ids = folded.select("word", F.array_join(ends, "").alias("ids"))
-    return met.join(ids, "word").select(F.explode("places").alias("p"), "ids").select("p.block", "p.at", "ids")
+    ids = folded.select("word", F.unhex(F.array_join(ends, "")).alias("ids"))
+    return met.join(ids, "word").select(F.explode("places").alias("place"), "ids")
 
 
 def merged_cuts(edges: Column, n: Column) -> Column:
