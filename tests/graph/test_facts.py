@@ -6,7 +6,8 @@ import pytest
 
 from tracewright.functions.scalars import content_hash, human_bytes, include_target, unsigned
 from tracewright.sources import trees
-from tracewright.sources.c_facts import Facts, dump_tokens, extract
+from tracewright.sources.c_facts import Facts, _in_bodies, dump_tokens, extract
+from tracewright.sources.c_tokens import Scan, tokens
 from tracewright.sources.truth import parse_line
 
 CASES = [
@@ -74,6 +75,24 @@ def test_pieces_change_nothing(source):
     assert (None if done is None else parts) == whole == extract(source, size=1)
 
 
+RUN = "  h(1);\n  k(a, b2);\n  h();\n"
+
+
+@pytest.mark.parametrize("source", [c[0] for c in CASES] + [f"int f(void) {{\n{RUN}  if (x) {{\n{RUN}  }}\n  struct S {{ int v; }}\n{RUN}  T\n{RUN}  else\n{RUN}  int(1);\n}}\n", f"extern \"C\" {{\n{RUN}}}\nif (x) {{\n{RUN}}}\nstruct S {{\n{RUN}}};\nint x =\n{RUN}", f"int f(void) {{\n{RUN}  g() }}\n", f"int x = f(a) {{\n{RUN}}};\n{RUN}int f(a) int a; {{\n{RUN}}}\n"])
+def test_lines_of_calls_read_together_change_nothing(source):
+    assert extract(source) == extract(source, size=1) == extract(source, runs=False)
+
+
+def test_lines_of_calls_are_few_tokens():
+    """In a body, up to 64 lines are one; elsewhere each is taken apart."""
+    body = "".join(f"  g{k}(1);\n" for k in range(640))
+    made = list(_in_bodies(tokens("int f(void) {\n" + body + "}\n", Scan([], [], False), True)))
+    assert len(made) == 17 and [t.line for t in made[6:16]] == list(range(2, 642, 64))
+    apart = "int x;\n" + body
+    assert list(_in_bodies(tokens(apart, Scan([], [], False), True))) == list(tokens(apart, Scan([], [], False)))
+    assert [c[1:] for c in extract("int f(void) {\n" + body + "}\n").calls] == [(f"g{k}", k + 2) for k in range(640)]
+
+
 def test_a_large_source_takes_little_memory():
     """Its functions are read one after the other, and its facts lie in Arrow columns."""
     data = b"".join(b"int f%d(int *p) {\n%s}\n" % (k, b"  g(1);\n" * 30) for k in range(2_000))
