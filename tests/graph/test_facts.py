@@ -110,5 +110,19 @@ def test_a_large_source_takes_little_memory():
     assert peak < 10e6
 
 
+def test_facts_of_a_large_source_lie_in_rows_of_bounded_size():
+    """Readers take thousands of rows at once. The rows of a file together have its facts, in order; the first has all else."""
+    source = b"int f(struct T *p) {\n%s}\nint g(void) { return 0; }\n" % (b"  h(1);\n" * (2 * trees.PART + 1))
+    files = [("/a.c", "a.c", b"int a(void) { b(); }"), ("/b.c", "b.c", source), ("/c.c", "c.c", b"@"), ("/d.c", "d.c", None), ("/e.h", "e.h", b'#include "b.h"\n' * (trees.PART + 1))]
+    rows = [r for b in trees._batches(iter(files)) for r in b.to_pylist()]
+    assert max(len(r[n]) for r in rows for n in trees.PARTED) == trees.PART
+    assert [r["path"] for r in rows] == ["/a.c", "/b.c", "/b.c", "/b.c", "/c.c", "/d.c", "/e.h", "/e.h"]
+    assert [r["bytes"] is None for r in rows] == [r["lines"] is None for r in rows] == [False, False, True, True, False, False, False, True]
+    assert len({(r["status"], r["hash"]) for r in rows if r["path"] == "/b.c"}) == 1
+    assert [c["line"] for r in rows[1:4] for c in r["calls"]] == list(range(2, 2 * trees.PART + 3))
+    assert [[d["name"] for d in r["definitions"]] for r in rows[:5]] == [["a"], ["f", "g"], [], [], []]
+    assert [len(r["type_uses"]) for r in rows[1:4]] == [1, 0, 0] and [i["line"] for r in rows[6:] for i in r["includes"]] == list(range(1, trees.PART + 2))
+
+
 def test_foreign_space_is_a_syntax_error():
     assert extract("int f(void) {　return 1; }") is None
