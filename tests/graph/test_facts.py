@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from tracewright.functions.scalars import content_hash, human_bytes, include_target, unsigned
@@ -124,5 +125,34 @@ def test_facts_of_a_large_source_lie_in_rows_of_bounded_size():
     assert [len(r["type_uses"]) for r in rows[1:4]] == [1, 0, 0] and [i["line"] for r in rows[6:] for i in r["includes"]] == list(range(1, trees.PART + 2))
 
 
+def test_a_file_in_pieces_is_joined_over_batches():
+    rows = [(None, "", b"x"), ("/a.c", "a.c", b"int a;"), ("/a.c", "a.c", None), ("/a.c", "a.c", b"int b;\nint c;"), ("/b.c", "b.c", None), ("/c.c", "c.c", b"")]
+    want = [(None, "", b"x\n"), ("/a.c", "a.c", b"int a;\nint b;\nint c;\n"), ("/b.c", "b.c", b"\n"), ("/c.c", "c.c", b"\n")]
+    kind = pa.schema([("path", pa.string()), ("rel", pa.string()), ("text", pa.binary())])
+    for size in (1, 2, 4, len(rows)):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows[at : at + size]], kind) for at in range(0, len(rows), size)]
+        assert list(trees._joined(iter([*batches, batches[0][:0]]))) == want
+
+
+def test_facts_that_are_not_kept_take_no_memory():
+    data = b"".join(b"int f%d(int *p) {\n%s}\n" % (k, b"  g(1);\n" * 30) for k in range(2_000))
+    list(trees._batches(iter([("/b.c", "b.c", b"int f(void) { g(); }")]), ("definitions",)))  # what is loaded at first use
+    before = pa.total_allocated_bytes()
+    (batch,) = trees._batches(iter([("/a.c", "a.c", data)]), ("definitions",))
+    assert pa.total_allocated_bytes() - before < 200_000
+    assert batch.to_pylist()[0]["definitions"][-1] == {"name": "f1999", "line": 63_969, "is_static": False}
+    assert [len(batch.column(n)[0]) for n in trees.RELATIONS] == [2_000, 0, 0, 0, 0, 0] and batch.column("lines")[0].as_py() == 64_000
+
+
+@pytest.mark.parametrize("keep", [trees.RELATIONS, ("calls",)])
+def test_pieces_are_parsed_as_whole_files(spark, keep):
+    pieces = [(f"/{f}.c", f"{f}.c", k, f'#include "x.h"\nint f{k}(struct T *p) {{\n  g{k}(1);\n}}') for f in "ab" for k in (3, 1, 2)]
+    wholes = [(f"/{f}.c", f"{f}.c", "\n".join(p[3] for p in sorted(pieces) if p[1] == f"{f}.c") + "\n") for f in "ab"]
+    found = trees.parse_pieces(spark.createDataFrame(pieces, "path string, rel string, at int, text string"), keep).orderBy("path").collect()
+    whole = trees.parse_contents(spark.createDataFrame(wholes, "path string, rel string, content string")).orderBy("path").collect()
+    for a, b in zip(found, whole, strict=True):
+        assert all(a[n] == ([] if n in trees.RELATIONS and n not in keep else b[n]) for n in b.asDict())
+
+
 def test_foreign_space_is_a_syntax_error():
     assert extract("int f(void) {　return 1; }") is None
