@@ -33,3 +33,9 @@ def test_query(spark, con, name):
     want = sorted(found.fetchall(), key=repr)
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
     assert len(got) == len(want) and all(same(x, y) for a, b in zip(got, want) for x, y in zip(a, b))
+
+
+def test_evaluation_reads_the_sources_of_its_ground_truth_once(spark):
+    """They are parsed before, not again by every use of the queries and the places."""
+    plan = code_tables.evaluation(spark, DIR)._jdf.queryExecution().toString()
+    assert "p_brand" not in plan
