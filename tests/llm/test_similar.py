@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -61,3 +63,13 @@ def test_stage_drops_near_copies(spark):
     rows = [(2, " ".join(words)), (56, " ".join([*words[:-1], "other"])), (60, " ".join(words[:32]))]
     out = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
     assert sorted(r.doc_id for r in out) == [2, 60]
+
+
+def test_a_crowd_first_offers_the_nearest_of_unlike_class():
+    """Of a crowd of one shingle, two members of unlike class for each at most; at the end all pairs of unlike class."""
+    n = 40
+    numbers = {"shard": np.zeros(n), "t": np.zeros(n), "key": np.arange(n), "fp": np.arange(n), "n": np.full(n, 50), "pos": np.zeros(n), "class": np.arange(n) % 20, "side": np.zeros(n)}
+    batch = pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in numbers.values()], list(numbers))
+    pairs = {near: [(r["a"], r["b"]) for b in simhash._more_candidates(iter([batch]), nearest=near) for r in b.to_pylist()] for near in (True, False)}
+    assert len(set(pairs[False])) == len(pairs[False]) == n * (n - 1) // 2 - 20
+    assert n // 2 <= len(pairs[True]) <= simhash.NEAREST * n and set(pairs[True]) < set(pairs[False])

@@ -22,13 +22,15 @@ one among the first fifth of each. Each shard (a shingle) builds a BK-tree of it
 and follows edges within WIDE bits (WIDEST for small sets); what it finds is confirmed on the sets. The radius is the
 method's own bound: of the pairs of similarity 0.8 or more, some one in ten thousand differs in more bits. Crowded shards
 first offer only each member's nearest; after those are confirmed, only pairs of unlike class are
-compared there, in blocks of members, so that a group of copies is never paired with itself.
+compared there, in blocks of members, so that a group of copies is never paired with itself: again the nearest,
+as long as that joins classes, and at last all that are of unlike class still.
 The order of shingles comes from a sample (rare ones first); it bears on the work, not on the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The stage's shingle and radius, the members that a shard pairs at once, the nearest that a crowded one offers,
 #: the members of a block of it, and the documents that the order of shingles is made from.
 WORDS, CROWD, NEAREST, BLOCK, SAMPLED = 5, 16, 2, 2048, 8192
+#: Rounds, at most, in which crowded shards offer the nearest members of unlike class before all that are left.
+ROUNDS = 8
 #: Radii: of sets of SMALL shingles or more, and of smaller ones, whose fingerprints are less steady.
 WIDE, WIDEST, SMALL = 20, 28, 32
 
@@ -354,11 +358,11 @@ def _few(rows: list[tuple[int, int, int, int]], told: set[tuple[int, int]]) -> N
                 told.add((a, b) if a > b else (b, a))
 
 
-def _crowd(key: np.ndarray, fp: np.ndarray, n: np.ndarray, pos: np.ndarray, kind: np.ndarray | None, side: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Candidates of a crowded shard as rows (larger key, smaller key).
+def _crowd(key: np.ndarray, fp: np.ndarray, n: np.ndarray, pos: np.ndarray, kind: np.ndarray | None, side: np.ndarray | None, nearest: bool = True) -> Iterator[np.ndarray]:
+    """Candidates of a crowded shard as rows (larger key, smaller key): the nearest few of each member, or all.
 
-    kind None: the nearest few of each member, in blocks of like fingerprints. Else all pairs of unlike kind;
-    side: where it differs within the shard, only pairs of unlike side.
+    kind None: in blocks of like fingerprints. Else only pairs of unlike kind; side: where it differs within the
+    shard, only pairs of unlike side.
     """
     radius = WIDE if n.min() >= SMALL else WIDEST
     order = np.argsort(fp, kind="stable") if kind is None else np.arange(len(fp))
@@ -366,11 +370,13 @@ def _crowd(key: np.ndarray, fp: np.ndarray, n: np.ndarray, pos: np.ndarray, kind
         part = order[at : at + BLOCK] if kind is None else order
         for q, v, d in _in_chunks(BKIndex(fp[part]), fp[part], radius):
             x, y = part[q], part[v]
-            ok = (key[x] != key[y] if kind is None else (key[x] > key[y]) & (kind[x] != kind[y])) & _may_reach(n, pos, x, y)
+            ok = (key[x] != key[y] if nearest else key[x] > key[y]) & _may_reach(n, pos, x, y)
+            if kind is not None:
+                ok &= kind[x] != kind[y]
             if side is not None and side.min() != side.max():
                 ok &= side[x] != side[y]
             x, y, d = x[ok], y[ok], d[ok]
-            if kind is None and len(x):
+            if nearest and len(x):
                 by = np.lexsort((key[y], d, x))
                 x, y = x[by], y[by]
                 start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
@@ -443,15 +449,15 @@ def _first_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pairs(np.array(list(told), np.int64))
 
 
-def _more_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, t, key, fp, n, pos, class, side) sorted by shard and t to pairs (a, b), once each, of unlike class that share a t, and, in a shard of two blocks, of unlike side."""
+def _more_candidates(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, t, key, fp, n, pos, class, side) sorted by shard and t to pairs (a, b), once each, of unlike class that share a t, and, in a shard of two blocks, of unlike side. nearest: the nearest of each member alone."""
     for t, *columns in _groups(batches, "shard", ["t", "key", "fp", "n", "pos", "class", "side"]):
         found = np.zeros((0, 2), np.int64)
         starts = np.r_[0, np.flatnonzero(t[1:] != t[:-1]) + 1, len(t)]
         for s, e in zip(starts, starts[1:]):
             if e - s > 1:
                 key, fp, n, pos, kind, side = (c[s:e] for c in columns)
-                for both in _crowd(key, fp.view(np.uint64), n, pos, kind, side):
+                for both in _crowd(key, fp.view(np.uint64), n, pos, kind, side, nearest):
                     found = np.unique(np.concatenate([found, both]), axis=0)
         if len(found):
             yield _table(a=pa.array(found[:, 0], pa.int64()), b=pa.array(found[:, 1], pa.int64()))
@@ -512,11 +518,16 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     pairs = cut(shards.mapInArrow(_first_candidates, "a long, b long").distinct())
     classes, crowds = components(_confirm(docs, distinct, pairs)), members.where(F.col("m") > CROWD)
     if not crowds.isEmpty():
-        classes = cut(classes)
-        of = classes.select(F.col("node").alias("key"), F.col("root").alias("class"))
-        shards = _dealt(crowds, of).repartition("shard").sortWithinPartitions("shard", "t")
-        more = shards.mapInArrow(_more_candidates, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        classes = _merged(classes, _confirm(docs, distinct, cut(more)))
+        classes, near, done = cut(classes), ROUNDS > 0, 0
+        while True:  # the nearest of unlike class as long as that joins classes; then all that are of unlike class still
+            of = classes.select(F.col("node").alias("key"), F.col("root").alias("class"))
+            shards = _dealt(crowds, of).repartition("shard").sortWithinPartitions("shard", "t")
+            more = cut(shards.mapInArrow(partial(_more_candidates, nearest=near), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+            good = _confirm(docs, distinct, more)
+            classes, pairs, done = cut(_merged(classes, good)), pairs.unionByName(more), done + 1
+            if not near:
+                break
+            near = done < ROUNDS and not good.isEmpty()
     firsts = distinct.select(F.col("key").alias("fp"), "first_id")
     return _named(rows.select("doc_id", F.col("key").alias("fp")), firsts, classes)
 
