@@ -49,7 +49,7 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: the members of a block of it, and the documents that the order of shingles is made from.
 WORDS, CROWD, NEAREST, BLOCK, SAMPLED = 5, 16, 2, 2048, 8192
 #: Rounds, at most, in which crowded shards offer the nearest members of unlike class before all that are left.
-ROUNDS = 8
+ROUNDS = 2
 #: Radii: of sets of SMALL shingles or more, and of smaller ones, whose fingerprints are less steady.
 WIDE, WIDEST, SMALL = 20, 28, 32
 
