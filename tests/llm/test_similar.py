@@ -73,3 +73,12 @@ def test_a_crowd_first_offers_the_nearest_of_unlike_class():
     pairs = {near: [(r["a"], r["b"]) for b in simhash._more_candidates(iter([batch]), nearest=near) for r in b.to_pylist()] for near in (True, False)}
     assert len(set(pairs[False])) == len(pairs[False]) == n * (n - 1) // 2 - 20
     assert n // 2 <= len(pairs[True]) <= simhash.NEAREST * n and set(pairs[True]) < set(pairs[False])
+
+
+def test_the_order_knows_common_shingles_of_a_larger_table(spark, monkeypatch):
+    """Shingles of 40 documents each are known in a table of twenty times the least sample, so that they make no crowded shard."""
+    monkeypatch.setattr(simhash, "SAMPLED", 100)
+    rows = [(k, f"f{k % 50} a b c d " + " ".join(f"o{k}w{j}" for j in range(20))) for k in range(2000)]
+    known, counts = simhash.common_shingles(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {int(simhash.shingles(f"f{k} a b c d", 5)[0]) for k in range(50)}
+    assert len(want & set(known.tolist())) >= 45 and counts.min() > 2

@@ -24,7 +24,7 @@ method's own bound: of the pairs of similarity 0.8 or more, some one in ten thou
 first offer only each member's nearest; after those are confirmed, only pairs of unlike class are
 compared there, in blocks of members, so that a group of copies is never paired with itself: again the nearest,
 as long as that joins classes, and at last all that are of unlike class still.
-The order of shingles comes from a sample (rare ones first); it bears on the work, not on the result.
+The order of shingles comes from a sample that is a share of the documents (rare ones first); it bears on the work, not on the result.
 """
 
 from __future__ import annotations
@@ -46,8 +46,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 #: The stage's shingle and radius, the members that a shard pairs at once, the nearest that a crowded one offers,
-#: the members of a block of it, and the documents that the order of shingles is made from.
-WORDS, CROWD, NEAREST, BLOCK, SAMPLED = 5, 16, 2, 2048, 8192
+#: the members of a block of it, and the documents that the order of shingles is made from: as many or this share of them, whichever is more.
+WORDS, CROWD, NEAREST, BLOCK, SAMPLED, SHARE = 5, 16, 2, 2048, 8192, 0.2
 #: Rounds, at most, in which crowded shards offer the nearest members of unlike class before all that are left.
 ROUNDS = 2
 #: Radii: of sets of SMALL shingles or more, and of smaller ones, whose fingerprints are less steady.
@@ -306,16 +306,24 @@ def _key(own: np.ndarray) -> int:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for t in b.column("text").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingles(t, WORDS)).view("<i8"))], ["t"])
+        own = [np.unique(shingles(t, WORDS)) for t in b.column("text").to_pylist()]
+        t, n = np.unique(np.concatenate([np.zeros(0, "<u8"), *own]), return_counts=True)
+        yield _table(t=pa.array(t.view("<i8")), n=pa.array(n, pa.int64()))
+
 
+def common_shingles(docs: DataFrame, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of those that a sample of documents holds often, sorted by shingle. They order the work; results don't depend on them.
 
-def common_shingles(docs: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) of those that a sample of documents holds often, sorted by shingle. They order the work; results don't depend on them."""
-    share = min(1.0, SAMPLED / max(1, docs.count()))
+    The sample is a share of the documents: one of fixed size knows ever fewer of the shingles that make a crowded shard.
+    """
+    share = max(SHARE, min(1.0, SAMPLED / max(1, docs.count())))
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    rows = picked.mapInArrow(_sampled, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "t").limit(most).collect()
-    t, n = np.array([r["t"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    counted = cut(picked.mapInArrow(_in_parts(_sampled), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where("n > 2"))
+    sizes = sorted(((r["n"], r["m"]) for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    told = np.cumsum([m for _, m in sizes])
+    least = next((n + 1 for (n, _), total in zip(sizes, told) if total > most), 0)
+    found = counted.where(F.col("n") >= least).toArrow()
+    t, n = found.column("t").to_numpy().view(np.uint64), found.column("n").to_numpy()
     at = np.argsort(t)
     return t[at], n[at]
 
