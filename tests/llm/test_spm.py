@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -74,3 +75,22 @@ def test_places_are_packed_and_numbered(spark, monkeypatch):
     got = {r.place: r.ids for r in spm.encode_units(words, spm.piece_table(spark), spm.pieces().longest).collect()}
     told = {p: [int.from_bytes(x[i : i + 2], "big") for i in range(0, len(x), 2)] for p, x in got.items()}
     assert told == {p: spm.pieces().word_ids(w) for p, w in ((5 << spm.PLACE_BITS, "▁the"), (7, "▁the"), (9, "qz"))}
+
+
+def test_ids_come_back_packed(monkeypatch):
+    """Ids of units, given in any order and in batches, come back by block in the order of places, in 8 bytes a unit at most."""
+    rng = np.random.default_rng(5)
+    places = [(block << spm.PLACE_BITS) + at for block in (3, 7 << spm.BLOCK_BITS) for at in range(0, 20_000, 5)]
+    ids = {p: rng.integers(0, 32_000, rng.integers(1, 4)).astype(">u2") for p in places}
+    order = rng.permutation(places)
+    batches = [pa.RecordBatch.from_arrays([pa.array(part), pa.array([ids[p].tobytes() for p in part.tolist()], pa.binary())], ["place", "ids"]) for part in np.array_split(order, 7)]
+    for most, rows in ((1_000_000, 2), (4000, 4)):
+        monkeypatch.setattr(spm, "GATHERED", most)
+        got = [r for b in spm._gathered(iter([batches[0][:0], *batches])) for r in b.to_pylist()]
+        assert len(got) == rows and sum(len(r["told"]) for r in got) < 8 * len(places)
+        back = {}
+        for r in got:
+            at, n, flat = spm._told(r["told"])
+            assert (np.diff(at) > 0).all()
+            back |= {(r["block"] << spm.PLACE_BITS) + a: x.tolist() for a, x in zip(at.tolist(), np.split(flat, np.cumsum(n)[:-1]))}
+        assert back == {p: x.tolist() for p, x in ids.items()}

@@ -21,6 +21,7 @@ and a lone surrogate a replacement sign; repeated rows give equal rows; an empty
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import pickle
 import re
@@ -46,7 +47,8 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: The most pieces that may be broadcast; the longest unit that takes a lattice; characters and distinct units of a block.
 MOST_PIECES, LONGEST, BLOCK_CHARS, BLOCK_UNITS = 1_000_000, 48, 32_000_000, 400_000
 #: A place is one number: the task, the block in it (BLOCK_BITS) and the unit in that (PLACE_BITS). Documents packed together.
-BLOCK_BITS, PLACE_BITS, TOGETHER = 12, 28, 500
+#: Units whose ids a task packs together.
+BLOCK_BITS, PLACE_BITS, TOGETHER, GATHERED = 12, 28, 500, 1_000_000
 
 
 def _unit_pattern(plain: dict[str, int]) -> re.Pattern:
@@ -212,6 +214,53 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of n numbers each, one after the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (place, ids; two bytes an id, the high one first) to rows (block, told): the ids of a block's units, packed in the order of places."""
+
+    def out() -> pa.RecordBatch:
+        place, n, ids = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(place)
+        ids = ids[_spread((np.cumsum(n) - n)[order], n[order])]
+        place, n = place[order], n[order]
+        block, at = place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
+        starts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+        to = np.r_[0, np.cumsum(n)]
+        told = [_planes(np.diff(at[s:e], prepend=0), n[s:e], ids[to[s] : to[e]]) for s, e in zip(starts, starts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(block[starts[:-1]]), pa.array(told, pa.binary())], ["block", "told"])
+
+    held, rows = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column("ids").cast(pa.binary())
+        held.append((b.column("place").to_numpy(), pc.binary_length(ids).to_numpy().astype(np.int64) // 2, np.frombuffer(b"".join(ids.to_pylist()), ">u2").astype("<u2")))
+        rows += b.num_rows
+        if rows >= GATHERED:
+            yield out()
+            held, rows = [], 0
+    if held:
+        yield out()
+
+
+def _planes(step: np.ndarray, n: np.ndarray, ids: np.ndarray) -> bytes:
+    """Steps between places, numbers of ids and the ids, as planes of bytes."""
+    planes = [x.astype(t).view("u1").reshape(-1, x_bytes).T.tobytes() for x, t, x_bytes in ((step, "<u4", 4), (n, "<u2", 2), (ids, "<u2", 2))]
+    return zstandard.compress(len(n).to_bytes(8, "little") + b"".join(planes), 1)
+
+
+def _told(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _planes packed: places, numbers of ids, ids."""
+    data = zstandard.decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    whole = lambda a, b, t, x_bytes: np.frombuffer(data[a:b], "u1").reshape(x_bytes, -1).T.copy().view(t).ravel().astype(np.int64)
+    return np.cumsum(whole(8, 8 + 4 * n, "<u4", 4)), whole(8 + 4 * n, 8 + 6 * n, "<u2", 2), whole(8 + 6 * n, len(data), "<u2", 2)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId() << BLOCK_BITS
     block = _Block(pieces(), task)
@@ -225,10 +274,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 block = _Block(block.table, block.number + 1)
     if block.docs:
         yield block.row()
+    block = b = None
+    _give_back()
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system, as the worker waits beside the JVM while units are folded."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def _assembled(with_ids: bool):
-    """Blocks (docs, known, at, ids) to documents: ids holds two bytes, the high one first, per id of the unit at each place."""
+    """Blocks (docs, known, told) to documents: told holds the ids of the units at their places, as _gathered packs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces()
@@ -236,19 +294,16 @@ def _assembled(with_ids: bool):
         for b in batches:
             for k in range(b.num_rows):
                 known, docs = (pickle.loads(b.column(c)[k].as_py()) for c in ("known", "docs"))
-                at = b.column("at")[k].values.to_numpy() if b.column("at")[k].is_valid else np.zeros(0, np.int64)
-                told = b.column("ids")[k].values if len(at) else pa.array([], pa.binary())
+                told = [_told(x) for x in b.column("told")[k].as_py() or []]
+                at, count, own_ids = (np.concatenate(c) for c in zip((np.zeros(0, np.int64),) * 3, *told))
                 total = len(at) + len(known)
                 size = np.zeros(total, np.int64)
-                size[at] = pc.binary_length(told).to_numpy() // 2
+                size[at] = count
                 for p, own in known.items():
                     size[p] = len(own)
                 start = np.concatenate([[0], np.cumsum(size)])
                 flat = np.zeros(start[-1], np.uint16)
-                if len(at):
-                    n = size[at]
-                    where = np.repeat(start[:-1][at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    flat[where] = np.frombuffer(b"".join(told.to_pylist()), ">u2")
+                flat[_spread(start[:-1][at], count)] = own_ids
                 for p, own in known.items():
                     flat[start[p] : start[p + 1]] = own
                 for some, packed in docs:
@@ -256,8 +311,7 @@ def _assembled(with_ids: bool):
                     ends = np.cumsum([0, *(d[3] for d in some)])
                     for (doc, n_chars, crc, _), first, end in zip(some, ends, ends[1:]):
                         p = places[first:end]
-                        n = size[p]
-                        ids = flat[np.repeat(start[:-1][p] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                        ids = flat[_spread(start[:-1][p], size[p])]
                         back = table.decode(ids.astype("<u2").tobytes())
                         wide, back_crc = ids.astype("<u4").tobytes(), zlib.crc32(back.encode())
                         rows.append((doc, len(ids), zlib.crc32(wide), len(back), back_crc, (n_chars, crc) == (len(back), back_crc), wide if with_ids else None))
@@ -273,20 +327,19 @@ def encode_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     places = blocks.select("block", F.posexplode("units").alias("at", "word")).where(F.col("word").isNotNull())
     places = places.select(F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("at")).alias("place"), "word")
     ids = encode_units(places, piece_table(spark), pieces().longest)
-    ids = ids.select(F.shiftright("place", PLACE_BITS).alias("block"), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("at"), "ids")
-    back = ids.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("ids").alias("ids"))
+    back = ids.mapInArrow(_gathered, "block long, told binary").groupBy("block").agg(F.collect_list("told").alias("told"))
     whole = blocks.select("block", "known", "docs").join(back, "block", "left")
-    out = whole.select("known", "docs", "at", "ids").mapInArrow(_assembled(with_ids), "doc_id long, n_ids long, ids_crc32 long, decoded_chars long, decoded_crc32 long, round_trip boolean, ids binary")
+    out = whole.select("known", "docs", "told").mapInArrow(_assembled(with_ids), "doc_id long, n_ids long, ids_crc32 long, decoded_chars long, decoded_crc32 long, round_trip boolean, ids binary")
     return out if with_ids else out.drop("ids")
 
 
 def encode_units(places: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     """places (place, word) with ids, two bytes each: the lattice of every distinct word, folded once.
 
-    Places are gathered by word in the one exchange that words take; both branches below read it.
+    Places meet by word in the one exchange that words take; both branches below read it (as both use the place).
     """
-    met = places.groupBy("word").agg(F.collect_list("place").alias("places"))
-    words = met.where(F.size("places") > 0).select("word")
+    met = places.select("place", "word").repartition("word")
+    words = met.groupBy("word").agg(F.min("place").alias("least")).where("least >= 0").select("word")
     ranked = table.withColumn("value", F.col("rank").cast("long") * 65536 + F.col("id"))
     n = F.length("word")
     starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
@@ -297,7 +350,7 @@ def encode_units(places: DataFrame, table: DataFrame, longest: int) -> DataFrame
     folded = lattice.withColumn("cuts", merged_cuts(F.col("edges"), F.length("word")))
     ends = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda a, k: F.lpad(F.hex(F.try_element_at("edges", a * 64 + F.get("cuts", k + 1)) % 65536), 4, "0"))
     ids = folded.select("word", F.unhex(F.array_join(ends, "")).alias("ids"))
-    return met.join(ids, "word").select(F.explode("places").alias("place"), "ids")
+    return met.join(ids, "word").select("place", "ids")
 
 
 def merged_cuts(edges: Column, n: Column) -> Column:
